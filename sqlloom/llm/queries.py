@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sqlloom.llm import repeats
+from sqlloom.llm import lookalike, repeats
 from sqlloom.sources.tables import spread, table
 
 
+def _forms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    left = spread(table(spark, folder, "submissions").select("submission_id", "sql"))
+    right = spread(table(spark, folder, "sql_extracts").select("extract_id", "sql"))
+    counts = lookalike.trigram_counts(left.select("sql").union(right.select("sql")))
+    return lookalike.one_form(left, "submission_id", "sql", counts), lookalike.one_form(right, "extract_id", "sql", counts)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = lookalike.same_looking(*_forms(spark, folder))
+    return pairs.select(F.col("left_key").alias("submission_id"), F.col("right_key").alias("extract_id"))
+
+
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    left, right = _forms(spark, folder)
+    named = [df.select(F.lit(n).alias("table_name"), F.col("key").alias("row_id"), F.col("form").alias("sql_form")) for n, df in (("submissions", left), ("sql_extracts", right))]
+    return named[0].union(named[1]).dropDuplicates()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = spread(table(spark, folder, "submissions").select("submission_id", "sql"))
     return repeats.members(rows, "submission_id", "sql").withColumnRenamed("member_id", "submission_id")
@@ -18,5 +37,5 @@ def p3_statements(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.collapsed(rows, "submission_id", "sql")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_statements)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements)}
 ORACLE: dict[str, str] = {}
