@@ -64,7 +64,8 @@ _LATIN = {a: b for there, here in _TWINS for a, b in zip(there, here)}
 _OTHERS: dict[str, list[str]] = {}
 for _a, _b in _LATIN.items():
     _OTHERS.setdefault(_b, []).append(_a)
-_TWIN = re.compile("[" + "".join(_LATIN) + "]")
+TWINS = "[" + "".join(_LATIN) + "]"
+_TWIN = re.compile(TWINS)
 _TOKEN = re.compile(r"\w+")
 
 

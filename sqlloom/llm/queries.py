@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import lookalike, repeats
+from sqlloom.llm import lookalike, mojibake, repeats
 from sqlloom.sources.tables import spread, table
 
 
@@ -37,5 +37,21 @@ def p3_statements(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.collapsed(rows, "submission_id", "sql")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements)}
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [("sql_extracts", "extract_id", "sql"), ("plan_extracts", "plan_id", "plan_text")]
+    rows = [(n, key, text, spread(table(spark, folder, n).select(key, text))) for n, key, text in parts]
+    model = mojibake.train(mojibake.sample_texts(rows[0][3].select("sql").union(rows[1][3].select("plan_text"))))
+    found = [mojibake.garbled_rows(df, key, text, model).withColumn("table_name", F.lit(n)) for n, key, text, df in rows]
+    return found[0].union(found[1]).withColumnRenamed("key", "row_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).select("table_name", "row_id").dropDuplicates()
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).dropDuplicates(["table_name", "row_id"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored)}
 ORACLE: dict[str, str] = {}
