@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import lookalike, mojibake, repeats
+from sqlloom.llm import lookalike, mojibake, personal, repeats
+from sqlloom.sources.scratch import written
 from sqlloom.sources.tables import spread, table
 
 
@@ -53,5 +54,23 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _garbled(spark, folder).dropDuplicates(["table_name", "row_id"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored)}
+_PRIVATE = (("sql", False), ("plan_text", True))
+
+
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "name_parts")
+    rows = spread(table(spark, folder, "submissions").select("submission_id", "sql", "plan_text"))
+    return personal.judged(written(personal.collect(rows, "submission_id", _PRIVATE, names)), names)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _personal(spark, folder).select(F.col("key").alias("submission_id"), F.col("field").alias("field_name"), "kind").dropDuplicates()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "submissions").select("submission_id", "sql", "plan_text"))
+    return personal.redacted(rows, "submission_id", _PRIVATE, _personal(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted)}
 ORACLE: dict[str, str] = {}
