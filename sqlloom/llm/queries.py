@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import lookalike, mojibake, personal, repeats
+from sqlloom.llm import bpe, lookalike, mixture, mojibake, personal, repeats
 from sqlloom.sources.scratch import written
 from sqlloom.sources.tables import spread, table
 
@@ -72,5 +72,24 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(rows, "submission_id", _PRIVATE, _personal(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return bpe.token_ids(rows, "doc_id", "text", bpe.load())
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    docs = written(bpe.token_counts(rows, ["doc_id", "source"], "text", bpe.load()))
+    return mixture.mixed(docs, table(spark, folder, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_uses, p7_shares)}
 ORACLE: dict[str, str] = {}
