@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlloom.llm import bpe, lookalike, mixture, mojibake, personal, repeats
+from sqlloom.llm import bpe, lookalike, mixture, mojibake, personal, repeats, residue
 from sqlloom.sources.scratch import written
 from sqlloom.sources.tables import spread, table
 
@@ -91,5 +91,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(_mixed(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_uses, p7_shares)}
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    matcher = residue.Matcher(*residue.document_frequencies(rows, "text"))
+    return residue.residue(rows, "doc_id", "text", matcher)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).select("doc_id").dropDuplicates()
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").join(_residue(spark, folder).select("doc_id"), "doc_id", "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_uses, p7_shares, p8_found, p8_kept)}
 ORACLE: dict[str, str] = {}
