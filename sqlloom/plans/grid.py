@@ -18,7 +18,7 @@ TIME_ROLES = ("time", "a_time")
 _RULER = re.compile(r"[-+|=\s]*-[-+|=\s]*")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 #: A byte order mark, also one that was read in the wrong encoding.
-_MARK = re.compile("^(?:﻿|ï»¿)")
+_MARK = re.compile("^(?:\\ufeff|\\u00ef\\u00bb\\u00bf)")
 
 
 class Grid(NamedTuple):

@@ -1 +1 @@
-"""Part of the sqlloom engine."""
+"""The stateless pipeline over a stream of submissions."""
