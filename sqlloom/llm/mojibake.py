@@ -2,8 +2,8 @@
 
 A multinomial classifier on hashed byte bigrams tells, for each piece of a text that holds
 other characters than ASCII, by which chain of encodings it was garbled, or that it is sound.
-It is trained here: a bounded sample of texts (``SAMPLE_ROWS``) is cut into pieces, each is
-garbled by every chain of ``CHAINS``, and the classifier learns to tell the results apart.
+It is trained here: pieces are counted over all texts, the ``SAMPLE_PIECES`` most frequent
+are garbled by every chain of ``CHAINS``, and the classifier learns to tell the results apart.
 Pieces of the sample that a first round takes for garbled are left out of the second.
 
 The predicted chain is then inverted. A piece counts as restored only if every step of the
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sqlloom.llm.lookalike import TWINS
 
-SAMPLE_ROWS = 6000
+SAMPLE_PIECES = 3000
 BUCKETS = 1 << 15
 
 # Chains of (encoding of the bytes, encoding they were read with), one pair for each pass.
@@ -110,6 +110,15 @@ def _letterwise(chain: tuple[tuple[str, str], ...]) -> bool:
     return all(_single(e) is not None for step in chain for e in step)
 
 
+def _far(p: str) -> int:
+    return sum(c > "\x7f" for c in plain(p))
+
+
+def normal(p: str) -> str:
+    """A piece as it is counted: trimmed, numbers as 0."""
+    return re.sub(r"[0-9]+", "0", p).strip()
+
+
 def pieces(text: str) -> list[str]:
     """Parts between line ends and quotation marks that hold other characters than ASCII."""
     return [p for p in _EDGE.split(text) if not p.isascii()]
@@ -138,8 +147,9 @@ class Classifier:
 
     SMOOTH, MASS = 0.3, 60_000.0
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: np.ndarray, sound: frozenset[str] = frozenset()):
         self.weights = weights
+        self.sound = sound  # the sample's sound pieces
 
     @classmethod
     def fit(cls, sound: dict[str, int], garbled: list[dict[str, int]]) -> Classifier:
@@ -151,7 +161,7 @@ class Classifier:
                 np.add.at(n, _features(plain(t).encode("utf-8", "replace")), w)
             n *= cls.MASS / max(n.sum(), 1.0)  # equal mass, so that unknown bigrams favour no class
             table[:, k] = np.log((n + cls.SMOOTH) / (cls.MASS + cls.SMOOTH * BUCKETS))
-        return cls(table)
+        return cls(table, frozenset(sound))
 
     PRIOR = 3.0  # log odds of sound against any one chain
 
@@ -161,14 +171,16 @@ class Classifier:
         return s
 
 
-def train(sample: list[str]) -> Classifier:
-    """Fits on the pieces of a sample of texts; see the module's description."""
-    found = Counter(re.sub(r"[0-9]+", "0", p).strip() for t in sample for p in pieces(t) if not plain(p).isascii())
+def train(found: dict[str, int]) -> Classifier:
+    """Fits on pieces with their counts; see the module's description."""
     sound = {p: n for p, n in sorted(found.items()) if _LOST not in p and not re.search("[\x80-\x9f]", p)}
+    # A piece that a chain leads back to a more frequent one, or to ASCII alone, is that one garbled.
+    worse = {p for p, n in sound.items() for chain in CHAINS if (q := invert(p, chain)) is not None and q != p and (found.get(q, 0) > n or plain(q).isascii())}
+    sound = {p: n for p, n in sound.items() if p not in worse}
     model = None
     for _ in range(2):
         if model is not None:
-            sound = {p: n for p, n in sound.items() if model.scores(p)[1:].max() <= model.scores(p)[0] + 2.0}
+            sound = {p: n for p, n in sound.items() if _far(p) < 3 or model.scores(p)[1:].max() <= model.scores(p)[0] + 2.0}
         garbled = []
         for chain in CHAINS:
             texts: dict[str, int] = {}
@@ -203,12 +215,14 @@ class Judge:
         return v
 
     def _judge(self, p: str) -> tuple[int, str | None]:
+        if normal(p) in self.model.sound:
+            return 0, None
         s = self.model.scores(p)
         order = np.argsort(-s[1:])[:6] + 1
         best = int(order[0])
         if s[best] <= s[0]:
             return (best, None) if _LOST in p else (0, None)
-        far = sum(c > "\x7f" for c in plain(p))
+        far = _far(p)
         for k in map(int, order):
             if s[k] <= s[0]:
                 break
@@ -217,12 +231,14 @@ class Judge:
             back = None if _LOST in p else invert(p, CHAINS[k - 1])
             if back is None or back == p or _LOST in back or re.search("[\x00-\x08\x0e-\x1f\x80-\x9f]", back):
                 continue
+            if normal(back) in self.model.sound:
+                return k, back
             # What comes out has to be sound, and sounder for its length than what went in.
             after = self.model.scores(back)
             if plain(back).isascii() or after[0] >= after[1:].max() - 6.0 and self._mean(after, back) > self._mean(s, p) + 0.7:
                 return k, back
         # Nothing decodes strictly: bytes were lost, or the text is sound after all.
-        if _letterwise(CHAINS[best - 1]) and far < 3 and _LOST not in p:
+        if far < 3 and _LOST not in p and not re.search("[\x80-\x9f]", p):
             return 0, None
         sure = _LOST in p or bool(re.search("[\x80-\x9f]", p)) or s[best] - s[0] > self.SURE
         return (best, None) if sure else (0, None)
@@ -250,11 +266,18 @@ class Judge:
         return (chains, "".join([*out, t[at:]])) if chains else None
 
 
-def sample_texts(texts: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most ``rows`` texts with other characters than ASCII, chosen by hash over the whole input."""
+def sample_pieces(texts: DataFrame, most: int = SAMPLE_PIECES) -> dict[str, int]:
+    """The most frequent pieces of a column of texts, numbers written as 0, with their counts over all texts."""
     c = texts.columns[0]
-    picked = texts.where(F.octet_length(c) != F.length(c)).select(c).distinct().orderBy(F.xxhash64(c), c).limit(rows)
-    return [r[0] for r in picked.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = Counter(normal(p) for t in b.column(0).to_pylist() for p in pieces(t) if len(p) <= 400 and not plain(p).isascii())
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["piece", "n"])
+
+    rows = texts.where(F.octet_length(c) != F.length(c)).select(c).mapInArrow(run, "piece string, n long")
+    top = rows.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(most)
+    return {r.piece: r.n for r in top.collect()}
 
 
 def garbled_rows(df: DataFrame, key: str, text: str, model: Classifier) -> DataFrame:
@@ -264,10 +287,10 @@ def garbled_rows(df: DataFrame, key: str, text: str, model: Classifier) -> DataF
     ``recovered`` is true if all could. Null, empty and sound texts give no rows; a row delivered
     twice gives equal rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model.weights)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.sound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(Classifier(shared.value))
+        judge = Judge(Classifier(*shared.value))
         for b in batches:
             keys, chains, whole, restored = [], [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
