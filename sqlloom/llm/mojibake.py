@@ -175,7 +175,7 @@ def train(found: dict[str, int]) -> Classifier:
     """Fits on pieces with their counts; see the module's description."""
     sound = {p: n for p, n in sorted(found.items()) if _LOST not in p and not re.search("[\x80-\x9f]", p)}
     # A piece that a chain leads back to a more frequent one, or to ASCII alone, is that one garbled.
-    worse = {p for p, n in sound.items() for chain in CHAINS if (q := invert(p, chain)) is not None and q != p and (found.get(q, 0) > n or plain(q).isascii())}
+    worse = {p for p, n in sound.items() for chain in CHAINS if (q := invert(p, chain)) is not None and q != p and (found.get(q, 0) > n or not _letterwise(chain) and _DISGUISE.sub("", q).isascii())}
     sound = {p: n for p, n in sound.items() if p not in worse}
     model = None
     for _ in range(2):
@@ -221,7 +221,12 @@ class Judge:
         order = np.argsort(-s[1:])[:6] + 1
         best = int(order[0])
         if s[best] <= s[0]:
-            return (best, None) if _LOST in p else (0, None)
+            if _LOST in p:
+                return best, None
+            for k in map(int, np.argsort(-s[1:])[:12] + 1):  # too short to tell, unless it leads to a known piece
+                if not _letterwise(CHAINS[k - 1]) and (back := invert(p, CHAINS[k - 1])) is not None and normal(back) in self.model.sound:
+                    return k, back
+            return 0, None
         far = _far(p)
         for k in map(int, order):
             if s[k] <= s[0]:
