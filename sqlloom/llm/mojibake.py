@@ -175,7 +175,7 @@ def train(found: dict[str, int]) -> Classifier:
     """Fits on pieces with their counts; see the module's description."""
     sound = {p: n for p, n in sorted(found.items()) if _LOST not in p and not re.search("[\x80-\x9f]", p)}
     # A piece that a chain leads back to a more frequent one, or to ASCII alone, is that one garbled.
-    worse = {p for p, n in sound.items() for chain in CHAINS if (q := invert(p, chain)) is not None and q != p and (found.get(q, 0) > n or not _letterwise(chain) and _DISGUISE.sub("", q).isascii())}
+    worse = {p for p, n in sound.items() for chain in CHAINS if (q := invert(p, chain)) is not None and q != p and (found.get(q, 0) > n or not _letterwise(chain) and q.replace(chr(0xFEFF), "").isascii())}
     sound = {p: n for p, n in sound.items() if p not in worse}
     model = None
     for _ in range(2):
