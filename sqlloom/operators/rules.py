@@ -73,7 +73,8 @@ def findings(statements: DataFrame, requests_: DataFrame, settings: Settings = S
     ]
     if "R008" not in settings.disabled and settings.forbidden:
         for pattern, types in settings.forbidden:
-            hits = F.filter("tables", lambda t, p=pattern: t.rlike(glob_to_regex(p)))
+            regex = glob_to_regex(pattern)
+            hits = F.filter("tables", lambda t: t.rlike(regex))  # noqa: B023 - used at once
             allowed = F.col("statement_type").isin(*types) if types else F.lit(True)
             parts.append(F.when(allowed, F.transform(hits, lambda t: rule("R008", "BLOCK", t, t))).otherwise(empty))
     whole = s.select("submission_id", F.explode(F.concat(*parts)).alias("f"), F.col("idx").alias("statement_index")).select("submission_id", "f.rule_id", "f.status", "f.fact", "statement_index", "f.table_name")
