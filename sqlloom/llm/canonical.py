@@ -241,11 +241,15 @@ def canonical(sql: str | None) -> str | None:
         return None
     if "/" in sql:
         sql = _SLASH.sub(";", sql)
-    r = _Reader(_tokens(sql))
-    out = []
-    while r.i < r.n:
-        out.append(r.plain(False))
-        if r.i < r.n and r.t[r.i] == ")":  # a bracket too many
-            out.append(")")
-            r.i += 1
+    toks = _tokens(sql)
+    try:
+        r = _Reader(toks)
+        out = []
+        while r.i < r.n:
+            out.append(r.plain(False))
+            if r.i < r.n and r.t[r.i] == ")":  # a bracket too many
+                out.append(")")
+                r.i += 1
+    except RecursionError:  # brackets hundreds deep: the tokens in their order
+        out = [t for t in toks if t != ";"]
     return _SEP.join(x for x in out if x) or None

@@ -189,6 +189,8 @@ class Reader:
     def read(self, token: str) -> str:
         if (found := self.known.get(token)) is not None:
             return found
+        if len(token) > 256:  # the paths of a lattice grow with it; parts are read by themselves
+            return "".join(self.read(token[i : i + 256]) for i in range(0, len(token), 256))
         columns = []
         for c in token:
             latin = _LATIN.get(c, c)
