@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sqlloom.sources.tables import by_key
 from sqlloom.sqlast import rewrites
 from sqlloom.sqlast.facts import facts
 from sqlloom.sqlast.split import segments
@@ -60,5 +61,5 @@ def statements(df: DataFrame, key: str = "submission_id", text: str = "sql") ->
             for s in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows[s : s + 5000]], schema=schema)
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t RLIKE '\\\\S'").dropDuplicates(["k"])
-    return rows.mapInArrow(run, SCHEMA)
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t RLIKE '\\\\S'")
+    return by_key(rows, "k").mapInArrow(run, SCHEMA)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a temporary folder, set for the session."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", "") or ""):
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="sqlloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -7,10 +7,10 @@ from typing import Any
 
 
 class Node:
-    __slots__ = ("kind", "f")
+    __slots__ = ("kind", "f", "below")
 
     def __init__(self, kind: str, **fields: Any):
-        self.kind, self.f = kind, fields
+        self.kind, self.f, self.below = kind, fields, None
 
     def __getattr__(self, name: str) -> Any:
         try:
@@ -21,9 +21,17 @@ class Node:
     def get(self, name: str, default: Any = None) -> Any:
         return self.f.get(name, default)
 
-    def children(self) -> Iterator[Node]:
-        for v in self.f.values():
-            yield from _nodes(v)
+    def children(self) -> tuple[Node, ...]:
+        """Nodes right below in source order, kept once asked for: a tree doesn't change after it is read."""
+        if self.below is None:
+            out: list[Node] = []
+            for v in self.f.values():
+                if v.__class__ is Node:
+                    out.append(v)
+                elif v.__class__ is list or v.__class__ is tuple:
+                    _nodes(v, out)
+            self.below = tuple(out)
+        return self.below
 
     def walk(self, stop: frozenset[str] = frozenset()) -> Iterator[Node]:
         """This node and all below in source order, without recursion; below nodes of a kind in ``stop`` it doesn't go."""
@@ -32,15 +40,15 @@ class Node:
             n = todo.pop()
             yield n
             if n is self or n.kind not in stop:
-                todo.extend(reversed(list(n.children())))
+                todo.extend(n.children()[::-1])
 
 
-def _nodes(v: Any) -> Iterator[Node]:
-    if isinstance(v, Node):
-        yield v
-    elif isinstance(v, (list, tuple)):
-        for x in v:
-            yield from _nodes(x)
+def _nodes(v: list | tuple, out: list[Node]) -> None:
+    for x in v:
+        if x.__class__ is Node:
+            out.append(x)
+        elif x.__class__ is list or x.__class__ is tuple:
+            _nodes(x, out)
 
 
 QUERY = frozenset(("select", "setop"))

@@ -19,6 +19,7 @@ class ParseError(ValueError):
 _SET = {"UNION": "UNION", "MINUS": "EXCEPT", "EXCEPT": "EXCEPT", "INTERSECT": "INTERSECT"}
 _CLAUSE = frozenset("FROM WHERE GROUP HAVING ORDER CONNECT START UNION MINUS EXCEPT INTERSECT ON USING LEFT RIGHT FULL INNER CROSS JOIN NATURAL SET VALUES SELECT WHEN THEN ELSE END AND OR NOT IN IS LIKE BETWEEN EXISTS INTO AS FOR FETCH OFFSET RETURNING WITH LOG LIMIT ESCAPE BY ASC DESC".split())
 _COMPARE = frozenset(("=", "<>", "!=", "^=", "<", "<=", ">", ">="))
+_PLAIN = frozenset(("word", "op"))
 _MAX_DEPTH = 150
 
 
@@ -34,8 +35,14 @@ class Parser:
     def kind(self, k: int = 0) -> str:
         return self.t[self.i + k][0] if self.i + k < len(self.t) else "end"
 
-    def at(self, *words: str) -> bool:
-        return all(self.peek(k) == w and self.kind(k) in ("word", "op") for k, w in enumerate(words))
+    def at(self, word: str, *more: str) -> bool:
+        t, i = self.t, self.i
+        if i >= len(t) or t[i][1] != word or t[i][0] not in _PLAIN:
+            return False
+        for k, w in enumerate(more, i + 1):
+            if k >= len(t) or t[k][1] != w or t[k][0] not in _PLAIN:
+                return False
+        return True
 
     def take(self, *words: str) -> bool:
         if self.at(*words):
