@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +44,6 @@ class Settings:
     max_extracted_chars: int = 300_000
     max_file_bytes: int = 10 << 20
     max_output_tokens: int = 3072
-    extra: dict = field(default_factory=dict)
 
 
 def glob_to_regex(glob: str) -> str:
@@ -54,10 +53,6 @@ def glob_to_regex(glob: str) -> str:
     return "^" + ".*".join(re.escape(p) for p in glob.upper().split("*")) + "$"
 
 
-def rules_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "pos int, rule_id string, name string, type string, weight_key string")
-
-
 # The pattern catalog, in order: id, class, source of exact matches, their signals, family signals, evidence.
 _A, _V, _I, _O = "ADVICE_ONLY", "VERIFIED_REWRITE", "INFORMATIONAL", "OUT_OF_SCOPE"
 PATTERNS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqlloom.config import RESTRICTION_VERDICTS, Settings, glob_to_regex, rules_frame
+from sqlloom.config import RESTRICTION_VERDICTS, RULES, Settings, glob_to_regex
 
 
 def cost(raw: Column) -> Column:
@@ -87,10 +87,10 @@ def findings(statements: DataFrame, requests_: DataFrame, settings: Settings = S
 
 def rule_rows(requests_: DataFrame, statements: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Eight rows a request: status of each rule (NA where disabled or not applicable) and number of findings."""
-    rules = F.broadcast(rules_frame(requests_.sparkSession).select("pos", "rule_id"))
+    rules = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(r[0]).alias("rule_id")) for i, r in enumerate(RULES)))
     counts = found.groupBy("submission_id", "rule_id").agg(F.count("*").alias("n_findings"), F.max(F.col("status") == "BLOCK").alias("block"), F.max(F.col("status") == "REVIEW").alias("review"))
     where = statements.select("submission_id", where_verdict().alias("v")).groupBy("submission_id").agg(F.max(F.col("v") == "review").alias("unclear"), F.max(F.col("v") != "na").alias("applicable"))
-    base = requests_.select("submission_id").join(where, "submission_id", "left").crossJoin(rules)  # eight rows each, a fixed dimension
+    base = requests_.select("submission_id").join(where, "submission_id", "left").select("*", F.inline(rules))  # eight rows each
     status = (
         F.when(F.col("rule_id").isin(*settings.disabled) if settings.disabled else F.lit(False), "NA")
         .when(F.col("block"), "BLOCK")

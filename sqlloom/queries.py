@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sqlloom import corpus
 from sqlloom.config import PATTERNS
 from sqlloom.functions import text as T
-from sqlloom.operators import detect, diff, guards, masking, patterns, plan_analysis, plan_rows, rules, score, statements
+from sqlloom.operators import detect, diff, guards, masking, patterns, plan_analysis, plan_rows, revalidate, rules, score, statements
 from sqlloom.sources import archive
 from sqlloom.sources.scratch import written
 from sqlloom.sources.tables import spread, table
@@ -352,3 +352,14 @@ def x_workload(spark: SparkSession, folder: str) -> DataFrame:
     by_type = s.groupBy(F.concat(F.lit("type:"), "statement_type").alias("what")).agg(F.count("*").alias("n"))
     by_flag = s.select(F.explode("flags").alias("f")).groupBy(F.concat(F.lit("flag:"), "f").alias("what")).agg(F.count("*").alias("n"))
     return by_rule.union(by_type).union(by_flag)
+
+
+@query(_E + "SELECT submission_id, CAST(NULL AS VARCHAR) AS reason FROM e WHERE any_rewrite = 'or_eq_to_in' UNION ALL SELECT submission_id, 'predicate_lost' FROM e WHERE template IN (14, 19)")
+def w8_revalidated(spark: SparkSession, folder: str) -> DataFrame:
+    """Full rewrites judged (W6-W8): an OR chain against its IN list is proved, a dropped condition is not."""
+    rows = corpus.submissions(table(spark, folder, "orders")).where(F.col("template").isin(14, 15, 19))
+    in_list = F.concat(F.lit("SELECT a.x FROM case_note a WHERE a.n IN ("), F.col("submission_id").cast("string"), F.lit(", "), F.col("cost_raw"), F.lit(", 7)"))
+    lost = F.lit("SELECT a.x FROM case_note a WHERE UPPER(a.nm) = 'A' || 'B'")
+    pairs = rows.select("submission_id", "template", "sql", F.when(F.col("template") == 15, in_list).when(F.col("template") == 14, lost).otherwise(F.lit("SELECT 1 FROM case_note WHERE 1 = 1")).alias("suggested"))
+    pairs = pairs.withColumn("sql", F.when(F.col("template") == 19, F.lit("SELECT 1 FROM case_note WHERE n = 5")).otherwise(F.col("sql")))
+    return revalidate.revalidated(spread(pairs), "submission_id", "sql", "suggested")

@@ -192,5 +192,19 @@ def test_wide_rows_with_clashing_names(spark):
     assert statements.statements(df).count() == 1 and masking.masked(df).count() == 1 and rules.requests(df).count() == 1
 
 
+
+@pytest.mark.parametrize(
+    "a, b, why",
+    [("SELECT x FROM t WHERE a = 1 OR a = 2", "SELECT x FROM t WHERE a IN (1, 2)", None), ("SELECT x FROM t WHERE a = 1", "select x from t where a = 1", "identical"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM u WHERE a = 1", "tables"),
+     ("SELECT x FROM t WHERE a = 1", "SELECT DISTINCT x FROM t WHERE a = 1", "structure:distinct_or_union"), ("SELECT x FROM t WHERE a = 1", "SELECT x, y FROM t WHERE a = 1", "signature:select_count"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t", "where"),
+     ("SELECT x FROM t WHERE a = 1", "SELECT y FROM t WHERE a = 1", "skeleton"), ("SELECT x FROM t WHERE a = 1 AND b = 2", "SELECT x FROM t WHERE a = 1", "predicate_lost"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t WHERE a = 1 AND b = 2", "predicate_added"),
+     ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t WHERE", "unreadable"), ("SELECT x FROM t WHERE a = 1", None, "missing"), ("SELECT x FROM t WHERE ROWNUM < 2", "SELECT x FROM t WHERE 2 > ROWNUM", "rownum")],
+)
+def test_revalidation(a, b, why):
+    from sqlloom.operators.revalidate import reason
+
+    assert reason(a, b) == why
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
