@@ -81,5 +81,6 @@ def shares(uses: DataFrame, targets: DataFrame) -> DataFrame:
     """For each listed source its target share, tokens and actual share of the mixture."""
     used = uses.where("uses > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))
     out = targets.select("source", "target_share", "max_repeats").join(used, "source", "left").na.fill(0, ["used_tokens"])
-    total = out.agg(F.sum("used_tokens").alias("_total"))
-    return out.join(F.broadcast(total)).select("source", "target_share", "max_repeats", "used_tokens", F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0).alias("actual_share"))
+    whole = out.agg(F.sum("used_tokens").alias("total"), F.collect_list(F.struct(*out.columns)).alias("rows"))  # as many as targets
+    share = F.when(F.col("total") > 0, F.col("used_tokens") / F.col("total")).otherwise(0.0)
+    return whole.select("total", F.inline("rows")).select("source", "target_share", "max_repeats", "used_tokens", share.alias("actual_share"))
