@@ -14,15 +14,16 @@ def strip_comments(c: Column) -> Column:
 
 
 def deidentify(c: Column) -> Column:
-    """Identity numbers, e-mail addresses and runs of 8 and more digits replaced."""
-    out = F.regexp_replace(c, r"\b[A-Za-z][12]\d{8}\b", REDACTED)
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", REDACTED)
-    return F.regexp_replace(out, r"\b\d{8,}\b", REDACTED)
+    """Identity numbers, e-mail addresses and runs of 8 and more digits replaced; letters and digits of every script count, as in the reference."""
+    before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"  # \b of Java depends on its version
+    out = F.regexp_replace(c, before + r"[A-Za-z][12]\p{Nd}{8}" + after, REDACTED)
+    out = F.regexp_replace(out, r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}{2,}", REDACTED)
+    return F.regexp_replace(out, before + r"\p{Nd}{8,}" + after, REDACTED)
 
 
 def fingerprint(c: Column) -> Column:
     """16 hexadecimal digits of the text's upper case with single blanks."""
-    return F.substring(F.sha2(F.upper(F.trim(F.regexp_replace(c, r"\s+", " "))), 256), 1, 16)
+    return F.substring(F.sha2(F.upper(F.trim(F.regexp_replace(c, r"[\s\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))), 256), 1, 16)
 
 
 def parallel_hint(c: Column) -> Column:

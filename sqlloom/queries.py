@@ -198,11 +198,18 @@ _STRIP = "regexp_replace(regexp_replace({0}, '/\\*[^+](?s:.*?)\\*/|/\\*\\*/', '
 
 @query("SELECT doc_id, " + _DEID.format("text") + " AS safe, substr(sha256(upper(trim(regexp_replace(" + _DEID.format("text") + ", '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')))), 1, 16) AS fingerprint FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*')")
 def m7_deidentified(spark: SparkSession, folder: str) -> DataFrame:
-    """De-identification and fingerprint (M7, M8) of the ASCII documents."""
+    """De-identification and fingerprint (M7, M8) of the ASCII documents: the part of ``m7_documents`` that SQL can state."""
     docs = table(spark, folder, "documents").where(F.col("text").isNotNull() & (F.octet_length("text") == F.length("text")))
     return docs.select("doc_id", T.deidentify(F.col("text")).alias("safe"), T.fingerprint(T.deidentify(F.col("text"))).alias("fingerprint"))
 
 
+@query()
+def m7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """De-identification and fingerprint (M7, M8) of all documents with a text, in whatever script."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", T.deidentify(F.col("text")).alias("safe"), T.fingerprint(T.deidentify(F.col("text"))).alias("fingerprint"))
+
+
 @query("SELECT DISTINCT submission_id, len(regexp_extract_all(sql, '[\\x{3400}-\\x{9FFF}]')) + (length(sql) - len(regexp_extract_all(sql, '[\\x{3400}-\\x{9FFF}]'))) // 4 + 1 AS tokens FROM submissions WHERE sql IS NOT NULL")
 def g2_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token estimate."""
