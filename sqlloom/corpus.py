@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,72 @@ TEMPLATES: tuple[Template, ...] = (
 N = len(TEMPLATES)
 
 
+#: Alterations of a statement as (pattern, what replaces it), or a text put behind it, or a statement instead of it.
+ALTERATIONS: dict[str, tuple[str, ...]] = {
+    "same": ("\\s+", "  "),
+    "missing": (),
+    "second": (";\nSELECT 1 FROM dual",),
+    "open": (" WHERE (",),
+    "delete": ("(?s)^.*$", "DELETE FROM case_note WHERE n = 1"),
+    "table": ("\\b(case_note|case_hist|doc_scan|permit_hdr|levy_\\w+|dual|t1)\\b", "other_tab"),
+    "hint": (" /*+ PARALLEL */",),
+    "rownum": (" AND ROWNUM <= 5",),
+    "distinct": ("(?i)^SELECT", "SELECT DISTINCT"),
+    "column": ("(?i)^SELECT", "SELECT 0,"),
+    "order": (" ORDER BY 1",),
+    "no_where": ("(?s) WHERE .*$", ""),
+    "added": (" AND 'a' = 'b'",),
+    "wild": (" AND zz LIKE '%q'",),
+    "name": ("(?i)^SELECT (a\\.)?\\w+", "SELECT zz"),
+    "changed": (" = ", " <> "),
+}
+
+
+_CHANGES = (18, 19, 20, 21, 22, 23)
+_NO_CONDITION_LAST = (2, 3, 7, 8, 9, 18, 21, 22, 23, 28, 31, 32)  # " AND ..." can't follow
+_NO_SELECT_FIRST = (8, *_CHANGES, 31, 32)
+#: For each alteration the reason by which it is not proved, and the templates with another one (None: proved), written by hand.
+REASONS: dict[str, tuple[str, dict[str | None, tuple[int, ...]]]] = {
+    "same": ("identical", {}),
+    "missing": ("missing", {}),
+    "second": ("not_one_statement", {"unreadable": (32,)}),
+    "open": ("unreadable", {}),
+    "delete": ("type", {"unreadable": (31, 32)}),
+    "table": ("tables", {"type": _CHANGES, "unreadable": (31,), "identical": (32,)}),
+    "hint": ("hint", {"type": _CHANGES, "unreadable": (31, 32)}),
+    "rownum": ("rownum", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "type": (19, 20)}),
+    "distinct": ("structure:distinct_or_union", {"identical": _NO_SELECT_FIRST, "structure:distinct": (9,), "hint": (11,), "rownum": (25,), "unreadable": (26,)}),
+    "column": ("signature:select_count", {"identical": _NO_SELECT_FIRST, "hint": (11,), "rownum": (25,), "unreadable": (26,)}),
+    "order": ("signature:order_by", {"unreadable": (18, 19, 20, 22, 23, 31, 32), "hint": (11,), "type": (21,), "rownum": (25,)}),
+    "no_where": ("where", {"identical": (1, 2, 3, 4, 5, 6, 18, 21, 22, 23, 29, 31, 32), "unreadable": (7, 8), "tables": (9, 26, 27), "structure:set_operation": (10,), "hint": (11,), "type": (19, 20), "rownum": (25,), "signature:group_by_count": (28,)}),
+    "added": ("predicate_added", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "predicate_changed": (15,), "type": (19, 20), "rownum": (25,), "skeleton": (29,)}),
+    "wild": ("more_findings", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "type": (19, 20), "rownum": (25,), "skeleton": (29,)}),
+    "name": ("skeleton", {"identical": (1, 11, *_NO_SELECT_FIRST), "rownum": (25,), "unreadable": (26,)}),
+    "changed": ("predicate_lost", {"identical": (1, 2, 3, 8, 13, 21, 22, 28, 32), "hint": (11,), "predicate_changed": (15,), "unreadable": (18, 19, 23, 31), "type": (20,), "rownum": (25,), "skeleton": (29,)}),
+    "own": ("missing", {None: (15, 17)}),
+}
+
+
+def expected_reasons() -> str:
+    """SQL: ``alteration, template, reason`` of all."""
+    rows = [(how, i, next((r for r, at in other.items() if i in at), usual)) for how, (usual, other) in REASONS.items() for i in range(N)]
+    return ", ".join(f"({_q(h)}, {i}, {_q(r)})" for h, i, r in rows)
+
+
+def alteration(order: str = "submission_id") -> str:
+    """SQL: the alteration of an order, all of them in turn over the orders of a template."""
+    return f"CASE ({order} // {N}) % {len(ALTERATIONS)} " + " ".join(f"WHEN {i} THEN {_q(a)}" for i, a in enumerate(ALTERATIONS)) + " END"
+
+
+def altered(sql: Column, how: Column) -> Column:
+    """The text after the alteration named."""
+    out = F.lit(None).cast("string")
+    for name, a in ALTERATIONS.items():
+        if a:
+            out = F.when(how == name, F.concat(sql, F.lit(a[0])) if len(a) == 1 else F.regexp_replace(sql, a[0], a[1])).otherwise(out)
+    return out
+
+
 def submissions(orders: DataFrame) -> DataFrame:
     """``submission_id, template, cost_raw, sql`` and the other columns of a submission."""
     picked = F.element_at(F.array(*(F.lit(t.sql) for t in TEMPLATES)), (F.col("template") + 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,12 +11,33 @@ from pyspark.sql import functions as F
 
 from sqlloom.sqlast import rewrites
 from sqlloom.sqlast.facts import facts
+from sqlloom.sqlast.nodes import render
 from sqlloom.sqlast.parser import ParseError, parse
 from sqlloom.sqlast.split import segments
 
 _SIGNATURE = ("select_count", "distinct", "group_by_count", "having", "order_by", "agg_funcs", "join_sides")
 
 
+def _notices(f: dict[str, Any]) -> int:
+    """Findings of the notice rules that a rewrite can change; those on tables (R007) are equal with the tables."""
+    return len(f["like_hits"]) + len(f["function_hits"]) + (f["or_count"] > 0)
+
+
+def rewritten(sql: str | None) -> str | None:
+    """A single statement with all its provable rewrites applied; None where there are none."""
+    parts = segments(sql)[0] if sql else []
+    if len(parts) != 1 or parts[0][1]:
+        return None
+    try:
+        tree = parse(parts[0][0])
+    except ParseError:
+        return None
+    text = before = render(tree)
+    for _, old, new in rewrites.find(tree):
+        text = text.replace(old, new)
+    return None if text == before else text
+
+
 def reason(original: str | None, suggested: str | None) -> str | None:
     """The first failing check, or None for a proved rewrite.
 
@@ -51,7 +73,7 @@ def reason(original: str | None, suggested: str | None) -> str | None:
         return "where"
     if a["skeleton"] != b["skeleton"]:
         return "skeleton"
-    if any(len(b[k]) > len(a[k]) for k in ("like_hits", "function_hits")) or b["or_count"] > a["or_count"]:
+    if _notices(b) > _notices(a):
         return "more_findings"
     try:
         return rewrites.explain_change(parse(parts[0][0][0]), parse(parts[1][0][0]))
@@ -59,6 +81,23 @@ def reason(original: str | None, suggested: str | None) -> str | None:
         return "unreadable"
 
 
+def own_rewrites(df: DataFrame, key: str, original: str) -> DataFrame:
+    """``key``, ``original`` and ``suggested``, each statement's own provable rewrites (null: none)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def one(x: str | None) -> str | None:
+        try:
+            return rewritten(x)
+        except RecursionError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([one(x) for x in b.column(1).to_pylist()], pa.string())], [key, original, "suggested"])
+
+    return df.select(F.col(key), F.col(original).cast("string")).mapInArrow(run, f"`{key}` {kind}, `{original}` string, suggested string")
+
+
 def revalidated(df: DataFrame, key: str, original: str, suggested: str) -> DataFrame:
     """``key`` and ``reason`` (null: proved) of each pair of statements; null and blank texts are missing."""
     kind = df.schema[key].dataType.simpleString()

@@ -370,3 +370,16 @@ def w8_revalidated(spark: SparkSession, folder: str) -> DataFrame:
     pairs = rows.select("submission_id", "template", "sql", F.when(F.col("template") == 15, in_list).when(F.col("template") == 14, lost).otherwise(F.lit("SELECT 1 FROM case_note WHERE 1 = 1")).alias("suggested"))
     pairs = pairs.withColumn("sql", F.when(F.col("template") == 19, F.lit("SELECT 1 FROM case_note WHERE n = 5")).otherwise(F.col("sql")))
     return revalidate.revalidated(spread(pairs), "submission_id", "sql", "suggested")
+
+
+@query("WITH x(alteration, template, reason) AS (VALUES " + corpus.expected_reasons() + f"""), o AS (SELECT CAST(o_orderkey AS BIGINT) AS submission_id, CAST(o_orderkey % {corpus.N} AS INTEGER) AS template FROM orders),
+a AS (SELECT *, """ + corpus.alteration() + """ AS alteration FROM o UNION ALL SELECT *, 'own' FROM o)
+SELECT submission_id, alteration, CAST(reason AS VARCHAR) AS reason FROM a JOIN x USING (alteration, template)""")
+def w8_all_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Two suggestions for every order judged (W6-W8): its own rewrites, and one of the alterations in turn."""
+    rows = corpus.submissions(table(spark, folder, "orders")).select("submission_id", "sql")
+    how = F.expr(corpus.alteration().replace("//", "DIV"))
+    changed = rows.select("submission_id", how.alias("alteration"), "sql").withColumn("suggested", corpus.altered(F.col("sql"), F.col("alteration")))
+    own = revalidate.own_rewrites(spread(rows), "submission_id", "sql").withColumn("alteration", F.lit("own"))
+    pairs = spread(changed).unionByName(own).withColumn("pair", F.struct("submission_id", "alteration"))
+    return revalidate.revalidated(pairs, "pair", "sql", "suggested").select("pair.submission_id", "pair.alteration", "reason")

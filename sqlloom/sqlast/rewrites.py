@@ -124,9 +124,10 @@ def verify_fragment(before: str, example: str) -> tuple[str, str | None, str | N
 
 
 def _atoms(tree: Node) -> list[tuple[int, str, Node]]:
-    """Predicates by scope, with their polarity in the key."""
+    """Predicates by scope, inline views and other subqueries included, with their polarity in the key."""
     out = []
-    for k, scope in enumerate(scopes(tree)):
+    inner = [c for s in tree.walk() if s.kind == "select" for c in (s.where, *(j.on for j in s.joins), s.having) if c is not None]
+    for k, scope in enumerate(inner if query_only(tree) else scopes(tree)):
         todo = [(scope, False)]
         while todo:
             n, neg = todo.pop()

@@ -41,3 +41,34 @@ def test_all_documents_against_brute_force(spark):
     want = sorted((r.doc_id, *deidentified(r.text)) for r in table(spark, DATA, "documents").collect() if r.text is not None)
     assert sorted(map(tuple, core.QUERIES["m7_documents"](spark, DATA).collect())) == want
     assert any(not r[1].isascii() for r in want)
+
+
+def test_every_alteration_of_every_template_is_judged_as_expected(spark):
+    from pyspark.sql import functions as F
+
+    from sqlloom import corpus
+    from sqlloom.operators import revalidate
+
+    rows = [(h, i, t.sql.replace("@K", "33").replace("@Q", "99999")) for h in corpus.ALTERATIONS for i, t in enumerate(corpus.TEMPLATES)]
+    df = spark.createDataFrame(rows, "how string, i int, sql string").withColumn("new", corpus.altered(F.col("sql"), F.col("how"))).withColumn("k", F.concat_ws(" ", "how", "i"))
+    got = {r.k: r.reason for r in revalidate.revalidated(df, "k", "sql", "new").collect()}
+    got |= {f"own {i}": revalidate.reason(s, revalidate.rewritten(s)) for h, i, s in rows if h == "same"}
+    assert got == {f"{h} {i}": next((r for r, at in other.items() if i in at), usual) for h, (usual, other) in corpus.REASONS.items() for i in range(corpus.N)}
+    first = {None if r is None else r.split(":")[0] for r in got.values()}
+    assert first == {None, "missing", "identical", "not_one_statement", "unreadable", "type", "tables", "hint", "rownum", "structure", "signature", "where", "skeleton", "more_findings", "predicate_lost", "predicate_changed", "predicate_added"}
+
+
+def test_conditions_of_inline_views_are_compared():
+    from sqlloom.operators.revalidate import reason
+
+    assert reason("SELECT q.x FROM (SELECT x FROM t WHERE n = 1) q", "SELECT q.x FROM (SELECT x FROM t WHERE n <> 1) q") == "predicate_lost"
+    assert reason("SELECT q.x FROM (SELECT x FROM t WHERE n = 1 OR n = 2) q", "SELECT q.x FROM (SELECT x FROM t WHERE n IN (1, 2)) q") is None
+
+
+def test_orders_get_both_suggestions(spark, tmp_path):
+    from sqlloom import corpus
+
+    n = corpus.N * len(corpus.ALTERATIONS)
+    spark.range(n).selectExpr("id AS o_orderkey", "1234.5D AS o_totalprice", "DATE '2024-01-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = core.QUERIES["w8_all_judged"](spark, str(tmp_path)).collect()
+    assert len(got) == 2 * n == len({(r.submission_id, r.alteration) for r in got}) and len({(r.submission_id % corpus.N, r.alteration) for r in got}) == n + corpus.N
