@@ -8,10 +8,14 @@ Pieces of the sample that a first round takes for garbled are left out of the se
 
 The predicted chain is then inverted. A piece counts as restored only if every step of the
 inversion is strict and gives a text that is sound to the same classifier.
+
+The sample only fits the classifier. Which pieces are known to be sound comes from the counts of
+all pieces (``sound_pieces``); pieces and their inversions are joined to them by hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.llm.lookalike import TWINS
+from sqlloom.sources.scratch import written
 
 SAMPLE_PIECES = 3000
 BUCKETS = 1 << 15
@@ -119,6 +124,10 @@ def normal(p: str) -> str:
     return re.sub(r"[0-9]+", "0", p).strip()
 
 
+def hashed(p: str) -> bytes:
+    return hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def pieces(text: str) -> list[str]:
     """Parts between line ends and quotation marks that hold other characters than ASCII."""
     return [p for p in _EDGE.split(text) if not p.isascii()]
@@ -150,6 +159,7 @@ class Classifier:
     def __init__(self, weights: np.ndarray, sound: frozenset[str] = frozenset()):
         self.weights = weights
         self.sound = sound  # the sample's sound pieces
+        self.first: Classifier | None = None  # the round that told them from garbled ones
 
     @classmethod
     def fit(cls, sound: dict[str, int], garbled: list[dict[str, int]]) -> Classifier:
@@ -165,6 +175,10 @@ class Classifier:
 
     PRIOR = 3.0  # log odds of sound against any one chain
 
+    def doubts(self, piece: str) -> bool:
+        """Whether a counted piece is rather garbled; short ones are no evidence."""
+        return _far(piece) >= 3 and bool((s := self.scores(piece))[1:].max() > s[0] + 2.0)
+
     def scores(self, piece: str) -> np.ndarray:
         s = self.weights[_features(plain(piece).encode("utf-8", "replace"))].sum(axis=0)
         s[0] += self.PRIOR
@@ -180,7 +194,7 @@ def train(found: dict[str, int]) -> Classifier:
     model = None
     for _ in range(2):
         if model is not None:
-            sound = {p: n for p, n in sound.items() if _far(p) < 3 or model.scores(p)[1:].max() <= model.scores(p)[0] + 2.0}
+            sound = {p: n for p, n in sound.items() if not model.doubts(p)}
         garbled = []
         for chain in CHAINS:
             texts: dict[str, int] = {}
@@ -192,15 +206,18 @@ def train(found: dict[str, int]) -> Classifier:
                     g = re.sub("[\x80-\x9f]", "", g).replace("\xa0", " ")
                     texts[g] = texts.get(g, 0) + n
             garbled.append(texts)
-        model = Classifier.fit(sound, garbled)
+        before, model = model, Classifier.fit(sound, garbled)
+        model.first = before
     return model
 
 
 class Judge:
     """Verdicts on pieces, kept for repeated ones."""
 
-    def __init__(self, model: Classifier):
+    def __init__(self, model: Classifier, sound: frozenset[bytes] | None = None):
         self.model = model
+        self.sound = frozenset(map(hashed, model.sound)) if sound is None else sound
+        self.listed: frozenset[bytes] = frozenset()  # further sound pieces that the text at hand may need
         self.known: dict[str, tuple[int, str | None]] = {}
 
     def piece(self, p: str) -> tuple[int, str | None]:
@@ -214,8 +231,11 @@ class Judge:
             self.known[p] = v
         return v
 
+    def _known(self, p: str) -> bool:
+        return (h := hashed(normal(p))) in self.sound or h in self.listed
+
     def _judge(self, p: str) -> tuple[int, str | None]:
-        if normal(p) in self.model.sound:
+        if self._known(p):
             return 0, None
         s = self.model.scores(p)
         order = np.argsort(-s[1:])[:6] + 1
@@ -224,7 +244,7 @@ class Judge:
             if _LOST in p:
                 return best, None
             for k in map(int, np.argsort(-s[1:])[:12] + 1):  # too short to tell, unless it leads to a known piece
-                if not _letterwise(CHAINS[k - 1]) and (back := invert(p, CHAINS[k - 1])) is not None and normal(back) in self.model.sound:
+                if not _letterwise(CHAINS[k - 1]) and (back := invert(p, CHAINS[k - 1])) is not None and self._known(back):
                     return k, back
             return 0, None
         far = _far(p)
@@ -236,7 +256,7 @@ class Judge:
             back = None if _LOST in p else invert(p, CHAINS[k - 1])
             if back is None or back == p or _LOST in back or re.search("[\x00-\x08\x0e-\x1f\x80-\x9f]", back):
                 continue
-            if normal(back) in self.model.sound:
+            if self._known(back):
                 return k, back
             # What comes out has to be sound, and sounder for its length than what went in.
             after = self.model.scores(back)
@@ -271,34 +291,117 @@ class Judge:
         return (chains, "".join([*out, t[at:]])) if chains else None
 
 
+def piece_counts(texts: DataFrame) -> DataFrame:
+    """``piece, n, short`` of all pieces of a column of texts, numbers written as 0; ``short`` counts those of at most 400 characters."""
+    c = texts.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, short = Counter(), Counter()
+            for p in (p for t in b.column(0).to_pylist() for p in pieces(t) if not plain(p).isascii()):
+                count[q := normal(p)] += 1
+                short[q] += len(p) <= 400
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([short[q] for q in count], pa.int64())], ["piece", "n", "short"])
+
+    rows = texts.where(F.octet_length(c) != F.length(c)).select(c).mapInArrow(run, "piece string, n long, short long")
+    return rows.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("short").alias("short"))
+
+
+def most_frequent(counts: DataFrame, most: int = SAMPLE_PIECES) -> dict[str, int]:
+    """The sample: the most frequent pieces of ``piece_counts`` with their counts."""
+    top = counts.where("short > 0").orderBy(F.col("short").desc(), "piece").limit(most)
+    return {r.piece: r.short for r in top.collect()}
+
+
 def sample_pieces(texts: DataFrame, most: int = SAMPLE_PIECES) -> dict[str, int]:
     """The most frequent pieces of a column of texts, numbers written as 0, with their counts over all texts."""
-    c = texts.columns[0]
+    return most_frequent(piece_counts(texts), most)
+
+
+def sound_pieces(counts: DataFrame, model: Classifier) -> DataFrame:
+    """``h, n`` of all pieces of ``piece_counts`` that are sound by the rules of ``train``: hashes, written once."""
+    shared = counts.sparkSession.sparkContext.broadcast((model.first or model).weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Classifier(shared.value)
         for b in batches:
-            count = Counter(normal(p) for t in b.column(0).to_pylist() for p in pieces(t) if len(p) <= 400 and not plain(p).isascii())
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["piece", "n"])
+            keys, oks, backs = [], [], []
+            for p in b.column(0).to_pylist():
+                ok, led = _LOST not in p and not re.search("[\x80-\x9f]", p), []
+                for chain in CHAINS if ok else ():
+                    if (q := invert(p, chain)) is not None and q != p:
+                        ok = ok and (_letterwise(chain) or not q.replace(chr(0xFEFF), "").isascii())
+                        led.append(hashed(q))
+                ok = ok and not judge.doubts(p)
+                keys.append(hashed(p))
+                oks.append(ok)
+                backs.append(led if ok else [])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(1), pa.array(oks, pa.bool_()), pa.array(backs, pa.list_(pa.binary()))], ["h", "n", "ok", "backs"])
+
+    rows = written(counts.select("piece", "n").mapInArrow(run, "h binary, n long, ok boolean, backs array<binary>"))
+    # A piece that a chain leads back to a more frequent one is that one garbled.
+    led = rows.where("ok").select(F.col("h").alias("garbled"), F.col("n").alias("own"), F.explode("backs").alias("h"))
+    worse = led.join(rows.select("h", "n"), "h").where("n > own").select(F.col("garbled").alias("h")).distinct()
+    return written(rows.where("ok").select("h", "n").join(worse, "h", "left_anti"))
+
+
+def lookups(p: str) -> list[bytes]:
+    """Hashes of a piece and of all that the chains lead it back to."""
+    out = {hashed(normal(p))}
+    out.update(hashed(normal(q)) for chain in CHAINS if (q := invert(p, chain)) is not None)
+    return list(out)
+
+
+def _with_listed(rows: DataFrame, sound: DataFrame, cached: frozenset[bytes]) -> DataFrame:
+    """``key, text, listed``: texts with a piece that is not in the cache, and the sound pieces of ``sound`` that they need."""
+    shared = rows.sparkSession.sparkContext.broadcast(cached)
 
-    rows = texts.where(F.octet_length(c) != F.length(c)).select(c).mapInArrow(run, "piece string, n long")
-    top = rows.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(most)
-    return {r.piece: r.n for r in top.collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = shared.value
 
+        @lru_cache(maxsize=20_000)
+        def needs(p: str) -> tuple[bytes, ...]:
+            return () if plain(p).isascii() or hashed(normal(p)) in cache else tuple(lookups(p))
 
-def garbled_rows(df: DataFrame, key: str, text: str, model: Classifier) -> DataFrame:
+        for b in batches:
+            keys, texts, wanted = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if found := {h for p in pieces(t) for h in needs(p)}:
+                    keys.append(k)
+                    texts.append(t)
+                    wanted.append(list(found - cache))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), pa.array(wanted, pa.list_(pa.binary()))], ["key", "text", "wanted"])
+
+    held = written(rows.mapInArrow(run, "key long, text string, wanted array<binary>"))
+    asked = held.select(F.col("key").alias("of"), F.explode("wanted").alias("h")).distinct()
+    listed = asked.join(sound.select("h"), "h", "left_semi").groupBy("of").agg(F.collect_set("h").alias("listed"))
+    return held.join(listed, F.col("key").eqNullSafe(F.col("of")), "left").select("key", "text", "listed")
+
+
+def garbled_rows(df: DataFrame, key: str, text: str, model: Classifier, sound: DataFrame | None = None) -> DataFrame:
     """``key``, ``chains``, ``recovered`` and ``restored`` of every row with garbled text.
 
+    ``sound`` holds the known sound pieces (``sound_pieces``), without it those of the sample count.
     ``chains`` names the chain of each garbled piece, with ``?`` where it can't be inverted strictly;
     ``recovered`` is true if all could. Null, empty and sound texts give no rows; a row delivered
     twice gives equal rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.sound))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") != F.length("text"))
+    if sound is None:
+        cached = frozenset(map(hashed, model.sound))
+        rows = rows.withColumn("listed", F.lit(None).cast("array<binary>"))
+    else:  # the most frequent ones are held in memory, all others joined
+        cached = frozenset(bytes(r.h) for r in sound.orderBy(F.col("n").desc(), "h").limit(SAMPLE_PIECES).collect())
+        rows = _with_listed(rows, sound, cached)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, cached))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(Classifier(*shared.value))
+        weights, known = shared.value
+        judge = Judge(Classifier(weights), known)
         for b in batches:
             keys, chains, whole, restored = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, t, listed in zip(*(b.column(i).to_pylist() for i in range(3))):
+                judge.listed = frozenset(listed or ())
                 if found := judge.text(t):
                     keys.append(k)
                     chains.append("; ".join(dict.fromkeys(found[0])))
@@ -306,5 +409,4 @@ def garbled_rows(df: DataFrame, key: str, text: str, model: Classifier) -> DataF
                     restored.append(found[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(chains, pa.string()), pa.array(whole, pa.bool_()), pa.array(restored, pa.string())], ["key", "chains", "recovered", "restored"])
 
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.octet_length("text") != F.length("text"))
     return rows.mapInArrow(run, "key long, chains string, recovered boolean, restored string")

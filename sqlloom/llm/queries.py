@@ -41,8 +41,10 @@ def p3_statements(spark: SparkSession, folder: str) -> DataFrame:
 def _garbled(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("sql_extracts", "extract_id", "sql"), ("plan_extracts", "plan_id", "plan_text")]
     rows = [(n, key, text, spread(table(spark, folder, n).select(key, text))) for n, key, text in parts]
-    model = mojibake.train(mojibake.sample_pieces(rows[0][3].select("sql").union(rows[1][3].select("plan_text"))))
-    found = [mojibake.garbled_rows(df, key, text, model).withColumn("table_name", F.lit(n)) for n, key, text, df in rows]
+    counts = written(mojibake.piece_counts(rows[0][3].select("sql").union(rows[1][3].select("plan_text"))))
+    model = mojibake.train(mojibake.most_frequent(counts))
+    sound = mojibake.sound_pieces(counts, model)
+    found = [mojibake.garbled_rows(df, key, text, model, sound).withColumn("table_name", F.lit(n)) for n, key, text, df in rows]
     return found[0].union(found[1]).withColumnRenamed("key", "row_id")
 
 
