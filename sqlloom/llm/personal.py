@@ -41,7 +41,9 @@ _SQL_PART = re.compile(_QUOTED + r"|(--[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|^[
 _REMARK = re.compile(r"^[ \t]*(?:REM|PROMPT)", re.M | re.I)
 _LITERAL = re.compile(_QUOTED)
 _COLUMN = re.compile(r"([A-Za-z_][\w$#]*)\"*(?:\s*,\s*\d+)*\s*\)?\s*(?:[=<>!^]{1,2}|\b[Ll][Ii][Kk][Ee]|\b[Ii][Nn]\s*\()\s*$")
-_IN_LIST = re.compile(r"([A-Za-z_][\w$#]*)\"*\s+[Ii][Nn]\s*\(")
+_AT = re.compile(r"[(\[{]at[)\]}]", re.I)
+#: Literals, comments, and brackets with the column whose IN list they open.
+_BRACKET = re.compile(_QUOTED + r"|--[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|([A-Za-z_][\w$#]*)\"*\s+[Ii][Nn]\s*\(|([()])")
 _PREAMBLE = re.compile(r"\s*(?:Plan hash value: \d+\s*)?[-\s|]*")
 
 _MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w.+-]+\s?[(\[{]\s?at\s?[)\]}]\s?[\w-]+(?:(?:\.|\s?[(\[{]?\s?\bdot\b\s?[)\]}]?\s?)[\w-]+)+|\b[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I)
@@ -82,12 +84,27 @@ _NUMBER_SEEDS = ((PHONE_CUES, "phone"), (ID_CUES, "id_number"))
 _Mention = tuple[int, int, str, str, str, str | None, str | None, str | None]
 
 
+def _in_columns(t: str) -> dict[int, str]:
+    """The column of each literal (by the place of its content) that stands right in an IN list, however long."""
+    out, opened = {}, []
+    for m in _BRACKET.finditer(t):
+        if m.group(1) is not None:
+            if opened and opened[-1]:
+                out[m.start(1)] = opened[-1]
+        elif m.group(2) or m.group(3) == "(":
+            opened.append(m.group(2))
+        elif m.group(3) and opened:
+            opened.pop()
+    return out
+
+
 class Collector:
     """Mentions of texts; what it made of a literal is kept for its next occurrence."""
 
     def __init__(self, given: frozenset[str], family: frozenset[str]):
         self.given, self.family = given, family
         self.literals: dict[str, tuple] = {}
+        self.listed: tuple[str | None, dict[int, str]] = (None, {})  # the last text with long lists and the columns of their entries
 
     def spans(self, text: str, whole: bool) -> list[_Mention]:
         """(start, end, class, cue or '', sign, first part, second part, seed) within a comment or a whole literal."""
@@ -147,12 +164,13 @@ class Collector:
         if (found := self.literals.get(value)) is None:
             if len(value) < 2 or len(value) > 400:
                 return tuple(self.spans(value, True)) if len(value) > 400 else ()
-            plain = value.isascii()
-            # One short word of letters and few digits holds nothing.
-            if plain and "@" not in value and " " not in value and sum(c.isdigit() for c in value) < 7 or re.fullmatch(r"[A-Z]-\d{1,8}|\d{4}-\d\d-\d\d|\d+|%.*%", value):
+            body = value.strip("%")
+            # One word of letters and few digits holds nothing, nor does a key with a letter before, nor a date.
+            if body.isascii() and "@" not in body and " " not in body and sum(c.isdigit() for c in body) < 7 and not _AT.search(body) or re.fullmatch(r"[A-Z]-\d{1,8}|\d{4}-\d\d-\d\d", body):
                 found = ()
             else:
-                found = tuple(self.spans(value, True))
+                lead = len(value) - len(value.lstrip("%"))
+                found = tuple((lead + a, lead + b, *rest) for a, b, *rest in self.spans(body, True))
             if len(self.literals) < 100_000:
                 self.literals[value] = found
         return found
@@ -183,10 +201,12 @@ class Collector:
 
     def _add(self, t: str, base: int, found: tuple, out: list[_Mention]) -> None:
         before = t[max(0, base - 61) : base - 1]
-        if not (column := _COLUMN.search(before)) and before.rstrip()[-1:] == ",":
-            for column in _IN_LIST.finditer(t, max(0, base - 400), base - 1):
-                pass
-        cue = (column.group(1) if column else "literal").lower()
+        name = column.group(1) if (column := _COLUMN.search(before)) else None
+        if name is None and before.rstrip()[-1:] == ",":
+            if self.listed[0] is not t:
+                self.listed = t, _in_columns(t)
+            name = self.listed[1].get(base)
+        cue = (name or "literal").lower()
         for a, b, cls, _, sign, x, y, seed in found:
             out.append((base + a, base + b, cls, cue, sign, x, y, _seed(_NUMBER_SEEDS, cue) if cls == "number" else seed))
 

@@ -95,3 +95,17 @@ def test_sound_pieces_are_known_beyond_the_sample(spark):
         assert {r.key: r.restored for r in mojibake.garbled_rows(df, "id", "t", model, mojibake.sound_pieces(counts, model)).collect()} == got
     finally:
         mojibake.SAMPLE_PIECES = few
+
+
+def test_literals_of_every_shape_are_collected():
+    from sqlloom.llm import personal
+
+    def found(t):
+        return [(t[m[0] : m[1]], m[2], m[3]) for m in personal.Collector(frozenset(["jane"]), frozenset(["roe"])).text(t, False)]
+
+    assert found("SELECT a FROM t WHERE tel_no = '0912345678'") == [("0912345678", "number", "tel_no")]
+    assert found("SELECT a FROM t WHERE nm LIKE '%Jane Roe%'") == [("Jane Roe", "name", "nm")]
+    assert found("SELECT a FROM t WHERE m = 'jane[at]example[dot]org'") == [("jane[at]example[dot]org", "mail", "m")]
+    many = ", ".join(f"'X-{i:05d}'" for i in range(200))
+    assert found(f"SELECT a FROM t WHERE tel_no IN ({many}, '415-555-0199') AND f(b, '415-555-0188') = 1") == [("415-555-0199", "number", "tel_no"), ("415-555-0188", "number", "literal")]
+    assert found("SELECT a FROM t WHERE d = '2024-01-31' AND k = 'A-12345678' AND s = '%open%'") == []
