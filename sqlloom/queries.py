@@ -343,12 +343,21 @@ def g8_advice(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT DISTINCT submission_id, CAST(len(string_split(sql, chr(10))) AS INTEGER) AS n_lines FROM submissions WHERE sql IS NOT NULL""")
 def f1_diff_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line differences (F1-F3) of each statement with itself and two lines more: as many lines stay the same as it has."""
+    """Line differences (F1-F3) of each statement with itself and two lines more: as many lines stay the same as it has; ``f1_altered`` has the other kinds."""
     rows = _submissions(spark, folder).where("sql IS NOT NULL").select("submission_id", "sql").dropDuplicates(["submission_id"])
     d = diff.rows(spread(rows.withColumn("more", F.concat("sql", F.lit("\n@@ added one\n@@ added two")))), "submission_id", "sql", "more")
     return d.where("kind = 'same'").groupBy("submission_id").agg(F.count("*").cast("int").alias("n_lines"))
 
 
+@query()
+def f1_altered(spark: SparkSession, folder: str) -> DataFrame:
+    """Line differences (F1-F3) of each statement with its masked form without comments: the lines of each kind."""
+    rows = _submissions(spark, folder).where("sql IS NOT NULL").select("submission_id", "sql").dropDuplicates(["submission_id"])
+    masked = spread(rows).select("submission_id", "sql", T.strip_comments(masking.mask_udf("sql")["masked_sql"]).alias("safe"))
+    d = diff.rows(masked, "submission_id", "sql", "safe")
+    return d.groupBy("submission_id").agg(*(F.count(F.when(F.col("kind") == k, 1)).cast("int").alias(f"n_{k}") for k in ("same", "changed", "removed", "added")))
+
+
 @query()
 def x_workload(spark: SparkSession, folder: str) -> DataFrame:
     """New: statements by type, with and without WHERE, and how often each rule fires, over the submissions."""

@@ -109,3 +109,21 @@ def test_literals_of_every_shape_are_collected():
     many = ", ".join(f"'X-{i:05d}'" for i in range(200))
     assert found(f"SELECT a FROM t WHERE tel_no IN ({many}, '415-555-0199') AND f(b, '415-555-0188') = 1") == [("415-555-0199", "number", "tel_no"), ("415-555-0188", "number", "literal")]
     assert found("SELECT a FROM t WHERE d = '2024-01-31' AND k = 'A-12345678' AND s = '%open%'") == []
+
+
+def test_line_differences_of_altered_statements(spark, tmp_path):
+    from sqlloom.operators import diff
+
+    texts = ["SELECT a\nFROM t", "SELECT a\nFROM t\nWHERE n = 'long literal'", "/* one\ntwo\nthree */\nSELECT a\nFROM t\nWHERE n = 1234567 -- why", "SELECT 'open\nline two' x\nFROM t", ""]
+    spark.createDataFrame([*enumerate(texts), (1, texts[1]), (9, None)], "submission_id long, sql string").write.parquet(str(tmp_path / "submissions.parquet"))
+    got = {r.submission_id: (r.n_same, r.n_changed, r.n_removed, r.n_added) for r in core.QUERIES["f1_altered"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0, 0, 0), 1: (2, 1, 0, 0), 2: (2, 2, 2, 0), 3: (1, 1, 1, 0), 4: (1, 0, 0, 0)}
+
+    # All kinds by brute force: the same lines are a longest common subsequence here, the others are paired in each gap.
+    def longest(a, b):
+        return 0 if not a or not b else 1 + longest(a[1:], b[1:]) if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    for x, y in (("a\nb\nc", "a\nc"), ("a\nc", "a\nb\nc"), ("a\nb\nc", "a\nx\ny\nc"), ("a\nb", "c")):
+        n = {k: sum(t[0] == k for t in diff.line_tags(x, y)) for k in ("same", "changed", "removed", "added")}
+        a, b = x.split("\n"), y.split("\n")
+        assert n["same"] == longest(a, b) and n["same"] + n["changed"] + n["removed"] == len(a) and n["same"] + n["changed"] + n["added"] == len(b)
