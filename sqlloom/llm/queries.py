@@ -95,7 +95,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def _residue(spark: SparkSession, folder: str) -> DataFrame:
     rows = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    matcher = residue.Matcher(*residue.document_frequencies(rows, "text"))
+    matcher = residue.Matcher(residue.frequencies(rows, "text"))
     return residue.residue(rows, "doc_id", "text", matcher)
 
 

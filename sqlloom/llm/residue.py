@@ -1,11 +1,15 @@
 """Template residue, filler, server pages and script notices in a corpus of documents.
 
-Labelled exemplars of residue are tokenised and held in an inverted index. A document's
-passages (lines, sentences, and spans in template brackets) retrieve exemplars by shared
-telling tokens; TF-IDF containment says how much of the exemplar is in the passage, coverage
-how much of the passage is from the exemplar. A passage with both high is residue; one that
-only mentions an error page is covered too little. Document frequencies of the exemplars'
-tokens are counted over all documents.
+Labelled exemplars of residue (``exemplars``) are tokenised and held in an inverted index. A
+document's passages (lines, sentences, windows in long ones, and spans between template signs
+or brackets) retrieve exemplars by shared telling tokens. TF-IDF containment says how much of
+an exemplar is in the passage, coverage how much of the passage is from the retrieved
+exemplars together. A passage with both high is residue; one that only mentions an error page
+is covered too little. Tokens are word stems, so that exemplars match other wording as well.
+
+Weights come from the document frequencies of all words in all documents. They also tell
+dummy text: in a passage that retrieves the printers' dummy Latin, words that hardly occur
+outside such documents count as covered, whatever they are.
 """
 
 from __future__ import annotations
@@ -19,81 +23,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CONTAINED = 0.72  # least share of an exemplar's weight in a passage
-COVERED = 0.58  # least share of a passage's weight that is the exemplar's
-COVERED_SPAN = 0.2  # for bracketed spans, whose slot names are free
-FILLER = 0.7  # coverage from which a passage of ``FILLER_WORDS`` filler words is filler
-FILLER_WORDS = 4
-
-# Labelled exemplars.
-SERVER = """
-404 Not Found|403 Forbidden|401 Unauthorized|500 Internal Server Error|502 Bad Gateway|503 Service Unavailable|504 Gateway Timeout|400 Bad Request|408 Request Timeout|429 Too Many Requests
-Bad Gateway proxy|The requested URL was not found on this server.|The page you requested could not be found.|The transcript you asked for is not on this server.|This page does not exist or has been moved.
-Error 503: Service temporarily unavailable.|The service is temporarily unavailable.|Service temporarily unavailable|Please try again later.|We are sorry for the inconvenience.|Sorry for the inconvenience, please try again later.
-Something went wrong while loading this speech.|Something went wrong.|Oops! Something went wrong.|An unexpected error occurred.|Application error|Database connection failed (code 17).|Error establishing a database connection
-Checking your browser before you are let through to the record.|Checking your browser before accessing the site.|Please wait while we check your browser.|Verify that you are human.|Your session has expired.|Please sign in again to continue reading.
-Too many requests from your network.|Slow down and retry after 30 seconds.|The server took too long to respond.|The connection has timed out.|Document is being prepared.|This takes about 20 seconds.|Your document is being prepared, please wait.|Loading, please wait
-Traceback: template render failed at line 12; view returned None|Traceback (most recent call last)|Unhandled exception in template rendering|Access denied. You do not have permission to view this page.|You don't have permission to access this page on this server.
-Scheduled maintenance in progress.|The site is down for maintenance.|Request id|Incident|If this goes on, quote code to the help desk.
-Erreur 404 – la page demandée est introuvable.|Page introuvable|Erreur interne du serveur.|Service momentanément indisponible.|Veuillez réessayer plus tard.|Une erreur est survenue.|Votre session a expiré.
-Página no encontrada. Vuelva al índice de sesiones.|Página no encontrada|Vuelva al índice de sesiones|Error interno del servidor.|Servicio temporalmente no disponible.|Inténtelo de nuevo más tarde.|Su sesión ha caducado.
-Seite nicht gefunden. Das gewünschte Protokoll existiert nicht oder wurde verschoben.|Seite nicht gefunden|Das gewünschte Protokoll existiert nicht oder wurde verschoben.|Interner Serverfehler.|Der Dienst ist vorübergehend nicht verfügbar.|Bitte versuchen Sie es später erneut.|Ihre Sitzung ist abgelaufen.
-找不到網頁（錯誤 404）。|找不到網頁|您要瀏覽的會議紀錄可能已移除。|您要瀏覽的網頁可能已移除。|伺服器發生錯誤，請稍後再試。|服務暫時無法使用。|系統忙碌中，請稍後再試。|連線逾時
-"""
-SCRIPT = """
-JavaScript is required to view this transcript.|Please enable it and reload the page.|Please enable JavaScript to continue.|JavaScript is disabled in your browser.|You need to enable JavaScript to run this app.
-You need to turn on scripts in your browser to read the official record.|This application does not work without scripting.|This site requires JavaScript.|Cookies must also be allowed.|noscript: enable active content to continue|Your browser does not support scripts.
-Veuillez activer JavaScript pour afficher le compte rendu de la séance.|JavaScript est désactivé dans votre navigateur.|Cette page nécessite JavaScript.
-Bitte aktivieren Sie JavaScript, um das Protokoll anzuzeigen.|JavaScript ist in Ihrem Browser deaktiviert.|Diese Seite benötigt JavaScript.
-Su navegador no admite scripts o están desactivados; no es posible mostrar la sesión.|Active JavaScript en su navegador para continuar.|Esta página requiere JavaScript.
-請啟用 JavaScript 以瀏覽本頁會議紀錄。|本網頁需要啟用 JavaScript 才能正常顯示。|您的瀏覽器不支援 JavaScript
-"""
-STANDIN = """
-TEXT TO FOLLOW.|Text to be supplied|Sample text. Please delete before publication.|Sample text.|Please delete before publication.|This is placeholder text.|Placeholder text, to be replaced before publication.|Insert text here|Your text here|Content coming soon.
-Ceci est un texte d’exemple ; le contenu définitif sera inséré ultérieurement.|Texte à compléter|Texte provisoire
-Dies ist ein Blindtext. Er wird später durch die Rede ersetzt.|Dies ist ein Blindtext.|Er wird später durch die Rede ersetzt.|Dies ist ein Platzhaltertext.|Mustertext|Text folgt.
-Este es un texto de ejemplo; el contenido definitivo se incluirá más adelante.|Este es un texto de relleno.|Texto de ejemplo|Texto pendiente
-此為範例文字，正式發言內容將於校對後補上。|此處為假文|內容待補|範例文字，請於發布前刪除。
-xxxx xxxxx xx xxxxxxx|asdf asdf asdf|bla bla bla|test test test
-"""
-# Words of filler text: of the well-known dummy Latin, and of dummy texts labelled in this corpus.
-FILLER_VOCABULARY = """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa officia deserunt mollit anim laborum
-quam contas tares velum udun dolumque ombra merga nolis vanis brevit tolis pelum orta aperet sidet ferat
-"""
-SLOT = """
-[insert]|[insert here]|[TODO]|[TBC]|[TBD]|[to be confirmed]|[to be completed]|[to be supplied]|[placeholder]|[fill in]|[to follow]|[xxx]|[à compléter]|[à confirmer]|[à insérer]|[einfügen]|[ergänzen]|[einzusetzen]|[insertar]|[completar]|[por confirmar]|[待補]|[待填]|[請填入]|[請輸入]
-<to be supplied>|<insert>|<here>|<placeholder>|<todo>|<to be confirmed>|<einfügen>|<à compléter>|<insertar>|<待補>
-"""
-
-# Labelled exemplars of slots in brackets that hold nothing else; what opens them is their token.
-STRONG_SLOTS = """
-{{ name }}|{% name %}|{! name !}|#{name}|${name}|<%= name %>|<% name %>|<? name ?>|<<name>>|[[name]]|&lt;name&gt;|{name}|@@name@@|%%name%%|__name__|@name@|%name%|~name~|$name$|#name#|XX/XX/20XX
-"""
+from sqlloom.llm import exemplars
+from sqlloom.sources.scratch import written
+
+RETRIEVED = 0.5  # least share of an exemplar's weight in a passage that retrieves it
+CONTAINED = 0.6  # the same for the best of the retrieved exemplars
+COVERED = 0.52  # least share of a passage's weight that the retrieved exemplars hold
+WINDOW = 0.85  # least containment and coverage of a window inside a longer passage
+WINDOW_TOKENS = 6  # different tokens that a window and its exemplar need at least
+SPAN = 0.5  # least containment of span exemplars
+COVERED_ORDER = 0.2  # least coverage of spans with an order to the writer, whose object is free
+COVERED_SIGN = 0.12  # the same of spans between template signs
+COVERED_FIELD = 0.6  # the same of spans with a field name
+NAMED = 0.2  # least share of a name's spans that stand in template signs, for it to be a field in brackets
+FILLER = 0.7  # least share of filler and unnatural words of a filler passage
+FILLER_SEEDS = 0.06  # least share of words of the dummy Latin alone
+FILLER_WORDS = 5
+COMMON = 1000  # a word in more than one of so many documents is common; so many words a document at most are common
+STEM = 6
 
-
-def opener(span: str) -> str:
-    """The token of a strong span: the signs that open it."""
-    head = re.match(r"_+|[Xx]+|[^\w\s]+", span)
-    return "#open:" + (head.group().upper() if head else "")
-
-
-# Strong brackets hold nothing but template slots; of weak ones the words inside decide.
-_WORD_IN = r"[\w.|:/ '\-]{1,60}?"
-_STRONG = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\{![^{}\n]{0,80}!\}|[#$]\{[^{}\n]{0,80}\}|<%[^<>\n]{0,80}%>|<\?[^<>\n]{0,80}\?>|<<[^<>\n]{1,80}>>|\[\[[^\[\]\n]{1,80}\]\]|&lt;/?[\w \-/.]{1,60}&gt;"
-    r"|\{[A-Za-z_][\w .|:\-]{0,60}\}|\{\d{1,3}\}|(?<![\w#])#[A-Za-z]\w*(?:[ _]\w+){0,4}#(?![\w#])|@@\w[\w ]{0,40}@@|%%\w[\w ]{0,40}%%|(?<!\w)__[A-Za-z](?:\w|[ ](?=\w)){0,40}?__(?!\w)|(?<![\w@])@[A-Za-z]\w*(?:[ _]\w+){0,4}@(?![\w])|(?<![\w%])%[A-Za-z]\w*(?:[ _]\w+){0,4}%(?![\w])|(?<![\w~])~[A-Za-z]\w*(?:[ _]\w+){0,4}~(?![\w])|(?<![\w$])\$[A-Za-z]\w*(?:[ _]\w+){0,4}\$(?![\w])"
-    r"|(?<!\w)[Xx]{2}[/.\-][Xx]{2}[/.\-][\dXx]{2,4}(?!\w)|(?<!\w)[Xx]{4}-[Xx]{2}-[Xx]{2}(?!\w)"
-)
-_WEAK = re.compile(r"\[[^\[\]\n]{1,90}\]|<[^<>\n]{1,90}>|«\s?[^«»\n]{1,60}\s?»|［[^［］\n]{1,60}］|【[^【】\n]{1,60}】|‹[^‹›\n]{1,60}›")
-_IDENTIFIER = re.compile(r"[A-Za-z]\w*_\w+|[A-Z]{2,}_[A-Z_]+|[a-z]+\.[a-z_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_RUN = re.compile(r"\w+")
 _HAN = re.compile("[一-鿿㐀-䶿]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])|\s*:\s+(?=\S{3,}[^:]*$)")
 
+# Spans between template signs, of any length within a line.
+_SIGNED = re.compile(
+    r"\{\{[^{}\n]*\}\}|\{%[^{}\n]*%\}|\{![^{}\n]*!\}|\{#[^{}\n]*#\}|[#$]\{[^{}\n]*\}|<%[^<>\n]*%>|<\?[^<>\n]*\?>|<<[^<>\n]+>>|\[\[[^\[\]\n]+\]\]|&lt;[^&\n]+&gt;|\{[A-Za-z_\d][^{}\n]*\}"
+    r"|@@\w[^@\n]*@@|%%\w[^%\n]*%%|(?<!\w)__[A-Za-z](?:[^_\n]|_(?!_))*__(?!\w)"
+    r"|(?<![\w#])#[A-Za-z]\w*(?:[ _]\w+)*#(?![\w#])|(?<![\w@])@[A-Za-z]\w*(?:[ _]\w+)*@(?!\w)|(?<![\w%])%[A-Za-z]\w*(?:[ _]\w+)*%(?!\w)|(?<![\w~])~[A-Za-z]\w*(?:[ _]\w+)*~(?!\w)|(?<![\w$])\$[A-Za-z]\w*(?:[ _]\w+)*\$(?!\w)"
+)
+_BRACKETED = re.compile(r"\[[^\[\]\n]+\]|<[^<>\n]+>|«[^«»\n]+»|［[^［］\n]+］|【[^【】\n]+】|‹[^‹›\n]+›")
+# A date or time with its figures left open.
+_BLANK_DATE = re.compile(r"(?<!\w)(?:[Xx]{2}[/.\-][Xx]{2}[/.\-][\dXx]{2,4}|[Xx]{4}-[Xx]{2}-[Xx]{2}|[DdTtJj]{2}[/.\-][Mm]{2}[/.\-][YyJjAa]{4}|[Yy]{4}-[Mm]{2}-[Dd]{2})(?!\w)")
+_SIGN = re.compile(r"[^\w\s]+|_+")
+
+
+def stem(word: str) -> str:
+    return word[:STEM]
+
 
 def words(text: str) -> list[str]:
-    """Tokens of a passage: words, pairs of Chinese characters, runs of x, and numbers that could be an HTTP status."""
+    """Tokens of a passage: stems of words, pairs of Chinese characters, runs of x, and numbers that could be an HTTP status."""
     out = []
     for w in _TOKEN.findall(text.lower()):
         if w.isdigit():
@@ -102,199 +73,302 @@ def words(text: str) -> list[str]:
         elif _HAN.match(w):
             for run in _HAN.findall(w):
                 out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
-            out += [x for x in _HAN.split(w) if x]
+            out += [stem(x) for x in _HAN.split(w) if x]
         elif len(w) > 1 and not w.strip("x"):
             out.append("#xx")
         else:
-            out.append(w)
+            out.append(stem(w))
     return out
 
 
-_RUN = re.compile(r"\w+")
-_PERCENT = re.compile(r"%[A-Za-z%]")
-
-
-def _signs(text: str) -> bool:
-    """Whether a text has any sign without which no strong bracket can be in it."""
-    return "{" in text or "<" in text or "@" in text or "~" in text or "#" in text or "$" in text or "[[" in text or "__" in text or "&lt;" in text or "XX" in text or "xx" in text or "Xx" in text or "xX" in text or "%" in text and bool(_PERCENT.search(text))
-
-
 def distinct_words(text: str) -> set[str]:
-    """``set(words(text))``, and perhaps digits and whole Chinese runs, in less time."""
+    """``set(words(text))``, in less time."""
     low = text.lower()
-    out = set(_RUN.findall(low))
-    if mixed := [w for w in out if not w.isalpha()]:
-        out.difference_update(mixed)
-        out.update(t for w in mixed for t in _TOKEN.findall(w))
-        if any(len(w) == 3 and w[0] in "45" and w.isdigit() for w in out):
-            out.add("#status")
-    if "xx" in low and any(len(w) > 1 and not w.strip("x") for w in out):
-        out.add("#xx")
-    if not low.isascii():
-        for w in [w for w in out if not w.isascii() and _HAN.match(w)]:
-            for run in _HAN.findall(w):
-                out.update(run[i : i + 2] for i in range(max(1, len(run) - 1)))
-            out.update(x for x in _HAN.split(w) if x)
+    found = set(_RUN.findall(low))
+    if odd := [w for w in found if not w.isalpha() or not w.isascii() and _HAN.search(w)]:
+        found.difference_update(odd)
+        found.update(words(" ".join(odd)))
+    out = {w[:STEM] for w in found}
+    if "xx" in low:
+        out.update(["#xx"] if any(len(w) > 1 and not w.strip("x") for w in found) else ())
     return out
 
 
-def strong_spans(text: str) -> list[str]:
-    return _STRONG.findall(text) if _signs(text) else []
-
+def signed_spans(text: str) -> list[str]:
+    """Spans between template signs, and dates with open figures."""
+    out = _SIGNED.findall(text) if any(c in text for c in "{<@~#$%") or "[[" in text or "__" in text or "&lt;" in text else []
+    if "xx" in (low := text.lower()) or "mm" in low:
+        out += _BLANK_DATE.findall(text)
+    return out
 
-def windows(passage: str, size: int = 400) -> list[str]:
-    """A passage, or for a long one windows over it, each beginning in the middle of the one before."""
-    if len(passage) <= size:
-        return [passage]
-    return [passage[i : i + size] for i in range(0, len(passage) - size // 2, size // 2)]
 
+def opening(span: str) -> str:
+    """The token of the signs that open a span."""
+    if _BLANK_DATE.fullmatch(span):
+        return "#open:date"
+    head = _SIGN.match(span)
+    return "#open:" + (span[:4] if span.startswith("&lt;") else head.group()[:2] if head else "")
 
-class Index:
-    """Exemplars by id: tokens and kind; and the inverted index of their tokens."""
 
-    def __init__(self) -> None:
-        self.exemplars: list[tuple[frozenset[str], str]] = []
-        for kind, block in (("server", SERVER), ("script", SCRIPT), ("standin", STANDIN), ("slot", SLOT)):
-            for e in re.split(r"[|\n]", block):
-                if e.strip():
-                    tokens = frozenset(words(e.strip("[]<>") if kind == "slot" else e))
-                    self.exemplars.append((tokens, kind if kind != "slot" else "slot" + e[0]))
-        self.exemplars += [(frozenset([opener(e)]), "slot{") for e in STRONG_SLOTS.strip().split("|")]
-        self.exemplars.append((frozenset(FILLER_VOCABULARY.split()), "filler"))
-        self.vocabulary = frozenset(t for tokens, _ in self.exemplars for t in tokens)
-        self.posting: dict[str, list[int]] = {}
-        for i, (tokens, _) in enumerate(self.exemplars):
-            for t in tokens:
-                self.posting.setdefault(t, []).append(i)
+def shape(span: str) -> str:
+    """The token of how the inside of a span is written."""
+    inside = span.strip("[]<>«»［］【】‹›{}%#$@~!?=& ").strip()
+    if re.fullmatch(r"[^\W_]+(?:_[^\W_]+)+", inside):
+        return "#shape:joined"
+    if re.fullmatch(r"[a-z]+[A-Z]\w*", inside):
+        return "#shape:camel"
+    if re.fullmatch(r"[a-z]\w*(?:\.[a-z]\w*)+", inside):
+        return "#shape:dotted"
+    return "#shape:words" if " " in inside else "#shape:word"
 
 
-INDEX = Index()
+def span_words(span: str) -> set[str]:
+    return {"s:" + w for w in words(span.replace("_", " "))}
 
 
-def slot_name(span: str) -> str:
-    """The words of a bracketed span, lower case with single blanks."""
+def span_name(span: str) -> str:
+    """The words of a span, lower case with single blanks."""
     return re.sub(r"[\W_]+", " ", span).strip().lower()
 
 
-SLOT_NAMES = 2000  # names of template slots that are kept, the most frequent ones
+class Index:
+    """Exemplars by id: tokens and kind."""
+
+    def __init__(self) -> None:
+        self.messages: list[tuple[frozenset[str], str]] = []
+        for kind, block in (("server", exemplars.SERVER), ("script", exemplars.SCRIPT), ("standin", exemplars.STANDIN)):
+            self.messages += [(frozenset(words(e)), kind) for e in exemplars.expanded(block)]
+        self.messages = list(dict.fromkeys(self.messages))
+        self.filler = frozenset(map(stem, exemplars.FILLER.split()))
+        self.spans = [(frozenset([opening(e.replace("*", "name"))]), "sign") for e in exemplars.SYNTAX.split()] + [(frozenset(["#open:date"]), "sign")]
+        self.spans += [(frozenset([s]), "field") for s in ("#shape:joined", "#shape:camel", "#shape:dotted")]
+        for kind, block in (("order", exemplars.COMMAND), ("field", exemplars.FIELD)):
+            self.spans += [(frozenset(span_words(e)), kind) for e in exemplars.expanded(block)]
+        self.spans = list(dict.fromkeys(self.spans))
+        self.vocabulary = frozenset(t for tokens, _ in (*self.messages, *self.spans) for t in tokens) | self.filler
+
+
+INDEX = Index()
 
 
-def document_frequencies(df: DataFrame, text: str) -> tuple[dict[str, int], int]:
-    """In how many documents each exemplar token occurs, and the number of documents.
+def word_counts(df: DataFrame, text: str) -> DataFrame:
+    """``token, n, n_filler``: in how many documents each word and span token occurs, and in how many of those that hold dummy Latin.
 
-    Names that stand in strong brackets at least twice are counted too, under ``slot:name``: they
-    are labels for the same names in weak brackets. The table has the exemplars' size and at most
-    ``SLOT_NAMES`` names.
+    The row of the empty token counts the documents. Pre-aggregated in each task, which passes
+    its counts on when they reach a fixed number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
-        vocabulary = INDEX.vocabulary
+        latin: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64()), pa.array([latin[t] for t in count], pa.int64())], ["token", "n", "n_filler"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    count[""] += 1
-                    count.update(vocabulary.intersection(distinct_words(t)))
-                    spans = strong_spans(t)
-                    count.update({opener(g) for g in spans})
-                    count.update({f"slot:{n}" for g in spans if re.search("[a-z]{3}", n := slot_name(g)) and len(n) <= 40})
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["token", "n"])
+                    found = distinct_words(t)
+                    for g in signed_spans(t):
+                        found.add(opening(g))
+                    if "[" in t or "<" in t or not t.isascii():
+                        for g in _BRACKETED.findall(t):
+                            found.add(shape(g))
+                            found |= span_words(g)
+                    found.add("")
+                    count.update(found)
+                    if len(found & INDEX.filler) > 1:
+                        latin.update(found)
+                    if len(count) > 500_000:
+                        yield rows()
+                        count.clear()
+                        latin.clear()
+        yield rows()
+
+    return df.select(text).mapInArrow(run, "token string, n long, n_filler long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_filler").alias("n_filler"))
+
+
+class Frequencies:
+    """Document frequencies of the exemplars' tokens, and the common words outside dummy text.
+
+    Bounded: a document of ``k`` words has at most ``k * COMMON`` common ones in the corpus.
+    """
+
+    def __init__(self, documents: int = 0, known: dict[str, int] | None = None, natural: frozenset[str] = frozenset()):
+        self.documents, self.known, self.natural = documents, known or {}, natural
+
 
-    rows = df.select(text).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = rows.where("token NOT LIKE 'slot:%' OR n > 1").orderBy(F.col("token").like("slot:%"), F.col("n").desc(), "token").limit(len(INDEX.vocabulary) + 1 + SLOT_NAMES)
-    found = {r.token: r.n for r in top.collect()}
-    return found, found.pop("", 0)
+def frequencies(df: DataFrame, text: str) -> Frequencies:
+    counts = written(word_counts(df, text))
+    whole = counts.where("token = ''").collect()
+    n = int(whole[0].n) if whole else 0
+    listed = df.sparkSession.createDataFrame([(t,) for t in INDEX.vocabulary], "token string")
+    known = {r.token: r.n for r in counts.join(F.broadcast(listed), "token", "left_semi").collect()}
+    common = counts.where((F.col("n") > 1) & (F.col("n") * COMMON >= n) & (F.col("n_filler") * 2 < F.col("n")) & ~F.col("token").rlike("^(#|s:)") & (F.col("token") != ""))
+    return Frequencies(n, known, frozenset(r.token for r in common.select("token").collect()))
 
 
 class Matcher:
-    def __init__(self, frequencies: dict[str, int], documents: int):
-        self.idf = {t: math.log((documents + 1) / (frequencies.get(t, 0) + 1)) + 0.1 for t in INDEX.vocabulary}
-        self.slots = frozenset(t[5:] for t in frequencies if t.startswith("slot:"))
+    def __init__(self, counted: Frequencies = Frequencies()):
+        self.natural = counted.natural - INDEX.filler
+        n = counted.documents
+        self.idf = {t: math.log((n + 1) / (counted.known.get(t, 0) + 1)) + 0.1 for t in INDEX.vocabulary}
         self.other = 3.0  # weight of words that no exemplar has
-        self.weight = [sum(self.idf[t] for t in tokens) for tokens, _ in INDEX.exemplars]
-        telling: set[str] = set()
-        for (tokens, kind), weight in zip(INDEX.exemplars, self.weight):
-            if kind == "filler":
-                telling |= tokens
-                continue
-            # Without at least one of these tokens a passage can't hold enough of the exemplar.
-            need, left = sorted(tokens, key=lambda t: -self.idf[t]), weight
-            for t in need:
-                telling.add(t)
+        self.weight = [sum(self.idf[t] for t in tokens) for tokens, _ in INDEX.messages]
+        #: Each exemplar under tokens of which a passage must hold one to retrieve it.
+        self.posting: dict[str, list[int]] = {}
+        for i, (tokens, _) in enumerate(INDEX.messages):
+            left = self.weight[i]
+            for t in sorted(tokens, key=lambda t: (-self.idf[t], t)):
+                self.posting.setdefault(t, []).append(i)
                 left -= self.idf[t]
-                if left < CONTAINED * weight:
+                if left < RETRIEVED * self.weight[i]:
                     break
-        self.telling = telling
+        self.telling = frozenset(self.posting)
+        self.span_posting: dict[str, list[int]] = {}
+        self.span_weight = [sum(self.idf[t] for t in tokens) for tokens, _ in INDEX.spans]
+        for i, (tokens, _) in enumerate(INDEX.spans):
+            for t in tokens:
+                self.span_posting.setdefault(t, []).append(i)
 
-    def passage(self, text: str, brackets: str = "") -> str | None:
+    def passage(self, text: str) -> str | None:
         """Kind of the best matching exemplar if a passage is residue."""
-        return self.match(words(text), brackets)
+        return self.match(words(text))
 
-    def match(self, tokens: list[str], brackets: str = "") -> str | None:
-        """The same for the tokens of a passage; ``brackets``: the kind of bracket it stands in."""
-        if not tokens or self.telling.isdisjoint(tokens):
-            return None
+    def match(self, tokens: list[str], least: int = 1, contained: float = CONTAINED, covered: float = COVERED) -> str | None:
         distinct = set(tokens)
-        hits: Counter[int] = Counter()
-        for t in distinct & INDEX.vocabulary:
-            for i in INDEX.posting[t]:
-                hits[i] += 1
+        found = distinct & self.telling
+        if not found:
+            return None
         total = sum(self.idf.get(t, self.other) for t in distinct)
-        for i, _ in hits.most_common():
-            e, kind = INDEX.exemplars[i]
-            if (kind[:4] == "slot") != bool(brackets) or brackets and kind[4:] and kind[4] != brackets:
+        held: dict[str, set[str]] = {}
+        best: dict[str, float] = {}
+        for i in {i for t in found for i in self.posting[t]}:
+            e, kind = INDEX.messages[i]
+            if len(e) < least:
                 continue
-            matched = sum(self.idf[t] for t in distinct & e)
-            if kind == "filler":
-                if sum(t in e for t in tokens) >= FILLER_WORDS and matched >= FILLER * total:
-                    return kind
-            elif matched >= CONTAINED * self.weight[i] and matched >= (COVERED_SPAN if brackets else COVERED) * total:
-                return kind[:4] if brackets else kind
+            shared = distinct & e
+            part = sum(self.idf[t] for t in shared) / self.weight[i]
+            if part >= RETRIEVED:
+                held.setdefault(kind, set()).update(shared)
+                best[kind] = max(best.get(kind, 0.0), part)
+        for kind in sorted(best, key=best.get, reverse=True):
+            if best[kind] >= contained and len(held[kind]) >= least and sum(self.idf[t] for t in held[kind]) >= covered * total:
+                return kind
         return None
 
-    def document(self, text: str | None) -> set[str]:
-        """Kinds of residue in a text."""
+    def windows(self, text: str) -> str | None:
+        """The same for windows around the telling tokens of a long passage: a message that runs on into other text."""
+        tokens = words(text)
+        at = [i for i, t in enumerate(tokens) if t in self.telling]
+        size = 2 * WINDOW_TOKENS
+        if len(tokens) <= size or not at:
+            return None
+        ends = [0]
+        for a, b in zip(at, at[1:]):
+            if b - a > WINDOW_TOKENS:
+                ends.append(b)
+        for start in ends:
+            run = [i for i in at if i >= start]
+            stop = next((a for a, b in zip(run, run[1:]) if b - a > WINDOW_TOKENS), run[-1])
+            first = run[0]
+            for i in range(max(0, first - 2), stop + 1):
+                for width in (WINDOW_TOKENS, 9, 14):
+                    if kind := self.match(tokens[i : i + width], WINDOW_TOKENS, WINDOW, WINDOW):
+                        return kind
+        return None
+
+    def filler(self, text: str) -> bool:
+        tokens = [t for t in words(text) if t[0] != "#"]
+        if len(tokens) < FILLER_WORDS:
+            return False
+        seeds = sum(t in INDEX.filler for t in tokens)
+        if seeds < 3 or len(set(tokens) & INDEX.filler) < 2 or seeds < FILLER_SEEDS * len(tokens):
+            return False
+        return sum(t in INDEX.filler or t not in self.natural for t in tokens) >= FILLER * len(tokens)
+
+    def span(self, tokens: set[str]) -> bool:
+        """Whether the tokens of a span hold and are covered by an exemplar of spans."""
+        total = sum(self.idf.get(t, 1.0) for t in tokens if not t.startswith("#shape"))
+        for i in {i for t in tokens for i in self.span_posting.get(t, ())}:
+            e, kind = INDEX.spans[i]
+            matched = sum(self.idf[t] for t in tokens & e)
+            if matched < SPAN * self.span_weight[i] or not e <= tokens:
+                continue
+            if kind == "sign" and matched >= COVERED_SIGN * total or kind == "order" and matched >= COVERED_ORDER * total:
+                return True
+            if kind == "field" and (matched >= COVERED_FIELD * total or any(t.startswith("#shape") for t in e) and matched >= COVERED_ORDER * total):
+                return True
+        return False
+
+    def document(self, text: str | None) -> tuple[set[str], set[str], set[str]]:
+        """Kinds of residue in a text, and the names in brackets and in template signs that are still to be compared."""
         found: set[str] = set()
+        open_names: set[str] = set()
+        names: set[str] = set()
         if not text or text.isspace():
-            return found
+            return found, open_names, names
         rest = text
-        if spans := strong_spans(text):
-            if any(self.match([opener(g)], "{") for g in spans):
-                found.add("slot")
-            rest = _STRONG.sub(" ", text)
-        for m in _WEAK.finditer(rest):
-            span = m.group()
-            side = "<" if span[0] in "<‹" else "["
-            if _IDENTIFIER.search(span[1:-1]) and " " not in _IDENTIFIER.sub("", span[1:-1]).strip() or slot_name(span) in self.slots or self.passage(span[1:-1], side):
-                found.add("slot")
-        plain = _WEAK.sub(" ", rest)
-        if self.telling.isdisjoint(distinct_words(plain)):
-            return found
+        if spans := signed_spans(text):
+            for g in spans:
+                if self.span({opening(g)} | span_words(g)):
+                    found.add("slot")
+                    if re.search(r"[^\W\d_]{3}", g):
+                        names.add(span_name(g))
+            rest = _BLANK_DATE.sub(" ", _SIGNED.sub(" ", text))
+        if "[" in rest or "<" in rest or not rest.isascii():
+            for g in _BRACKETED.findall(rest):
+                if self.span({shape(g)} | span_words(g)):
+                    found.add("slot")
+                else:
+                    open_names.add(span_name(g))
+            rest = _BRACKETED.sub(" ", rest)
+        distinct = distinct_words(rest)
+        if len(distinct & INDEX.filler) > 1 and any(self.filler(p) for p in rest.split("\n")):
+            found.add("filler")
+        if self.telling.isdisjoint(distinct):
+            return found, open_names, names
         seen: set[str] = set()
-        joined = re.sub(r"-\n", "", plain)
+        joined = re.sub(r"-\n", "", rest)
         whole = re.sub(r"(?<![.!?:;。！？\n])[ \t]*\n[ \t]*(?=[a-zà-ÿ0-9])(?![45]\d\d [A-Z])", " ", joined)  # lines that a scan broke within a sentence
         for part in (whole.split("\n"), re.sub(r"\n(?!\n)", " ", joined).split("\n")):
             for line in part:
-                for p in (line, *(w for x in _SENTENCE.split(line) for w in windows(x))):
+                for p in (line, *_SENTENCE.split(line)):
                     if p and p not in seen:
                         seen.add(p)
-                        if kind := self.passage(p):
+                        if kind := self.passage(p) or self.windows(p):
                             found.add(kind)
-        return found
+        return found, open_names, names
 
 
 def residue(df: DataFrame, key: str, text: str, matcher: Matcher) -> DataFrame:
-    """``key`` and ``kinds`` (joined by commas) of each document with residue; null, empty and blank texts have none."""
+    """``key`` and ``kinds`` (joined by commas) of each document with residue; null, empty and blank texts have none.
+
+    A name in ordinary brackets is a field too if at least ``NAMED`` of its spans in the corpus
+    stand in template signs: the names of both are compared as rows, however many there are.
+    """
     shared = df.sparkSession.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            keys, kinds = [], []
+            rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if found := m.document(t):
-                    keys.append(k)
-                    kinds.append(",".join(sorted(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.string())], [key, "kinds"])
-
-    return df.select(F.col(key).cast("long").alias(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` long, kinds string")
+                found, open_names, names = m.document(t)
+                if found or open_names or names:
+                    rows.append((k, ",".join(sorted(found)) or None, sorted(open_names), sorted(names)))
+            if rows:
+                k, kinds, a, z = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(kinds, pa.string()), pa.array(a, pa.list_(pa.string())), pa.array(z, pa.list_(pa.string()))], [key, "kinds", "open_names", "names"])
+
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(text)).where(F.col(text).isNotNull())
+    judged = written(rows.mapInArrow(run, f"`{key}` long, kinds string, open_names array<string>, names array<string>"))
+    opened = judged.where(F.size("open_names") > 0).select(key, F.explode("open_names").alias("name"))
+    fields = judged.where(F.size("names") > 0).select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("signed"))
+    # The names that stand in signs are joined to the counts of all bracketed names; a name that
+    # is common in brackets, as notes are, has one row by then.
+    in_brackets = opened.groupBy("name").agg(F.count("*").alias("bracketed"))
+    slots = fields.join(in_brackets, "name").where(F.col("signed") >= NAMED * (F.col("signed") + F.col("bracketed"))).select("name")
+    more = opened.join(slots, "name", "left_semi").select(key, F.lit("slot").alias("kinds"))
+    both = judged.where("kinds IS NOT NULL").select(key, "kinds").unionByName(more)
+    return both.groupBy(key).agg(F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("kinds", ",")))))).alias("kinds"))

@@ -72,11 +72,10 @@ def test_residue(spark):
     filler = [f"The House heard speech number {i} on the ferry subsidy and the water tariff; nobody in the county was asked. Please sign the record." for i in range(300)]
     texts = RESIDUE + SPEECH + filler
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, kinds string")
-    frequencies, n = residue.document_frequencies(df, "text")
-    m = residue.Matcher(frequencies, n)
+    m = residue.Matcher(residue.frequencies(df, "text"))
     got = {r.doc_id for r in residue.residue(df, "doc_id", "text", m).collect()}
     assert got == set(range(len(RESIDUE))), [texts[i] for i in got ^ set(range(len(RESIDUE)))]
-    assert residue.residue(df.limit(0), "doc_id", "text", residue.Matcher({}, 0)).count() == 0
+    assert residue.residue(df.limit(0), "doc_id", "text", residue.Matcher()).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -89,7 +88,29 @@ def test_queries(spark, name):
     assert df.count() == df.dropDuplicates().count()
 
 
+#: Everyday notices and slots that were written after the exemplars and are in none of them.
+HELD_OUT = ["We could not find the page you were looking for (404).", "Whoops! An unexpected error has occurred, please go back to the home page.", "You need to enable scripts in your browser in order to use this application.", "Your login session has expired, please log in again.", "Gateway timeout (504)", "The site is undergoing scheduled maintenance. Check back soon.", "Erreur 500 : erreur interne du serveur", "Bitte aktivieren Sie JavaScript in Ihrem Browser!", "La página que busca ya no existe.", "Il servizio non è al momento disponibile: errore interno del server.", "系統維護中，請稍後再試", "页面不存在", "このページを表示するには JavaScript を有効にしてください", "Dear [First Name],", "Yours, {{sender_signature_line}}", "Meeting on [DATE TO BE CONFIRMED]", "[hier Text einfügen]", "Sample text only, delete before publishing.", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem.", "Texte provisoire, à compléter", "%%RECIPIENT_CITY%%", "Contact: <phone number>"]
+
+
+def test_residue_of_wording_in_no_exemplar(spark):
+    speech = [f"The House heard speech number {i} on the ferry subsidy and the water tariff; the page and the site of the ministry were not mentioned in it." for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(speech + HELD_OUT)], "doc_id long, text string")
+    got = {r.doc_id for r in residue.residue(df, "doc_id", "text", residue.Matcher(residue.frequencies(df, "text"))).collect()}
+    assert not any(i < 300 for i in got) and len(got) >= 0.9 * len(HELD_OUT), [HELD_OUT[i] for i in range(len(HELD_OUT)) if i + 300 not in got]
+
+
+def test_no_lengths_or_numbers_are_capped(spark):
+    names = [f"field of kind {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} and more words than forty characters hold" for i in range(2500)]
+    texts = [f"Speech {{{{{n}}}}} of the Member." for n in names] + [f"Speech [{n}] of the Member." for n in names]
+    texts += ["Speech {{" + "x" * 5000 + "}} here.", "Speech [insert " + "word " * 1 + "y" * 3000 + "] here.", "Speech [Laughter] here.", "Speech here."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.range(10_000, 70_000).selectExpr("id AS doc_id", "concat('Speech ', id, ' of the Member.') AS text"))
+    got = {r.doc_id for r in residue.residue(df, "doc_id", "text", residue.Matcher(residue.frequencies(df, "text"))).collect()}
+    assert set(range(len(texts))) - got == {len(texts) - 2, len(texts) - 1}
+
+
 def test_long_passages_are_windowed():
-    m = residue.Matcher({}, 10)
     speech = "the minister spoke about ferries and harbours and nobody in the county was asked about them " * 40
-    assert m.document(speech) == set() and m.document(speech + "velum udun contas sit dolumque tares ombra merga quam nolis " * 30 + speech) == {"filler"}
+    m = residue.Matcher(residue.Frequencies(10, {}, frozenset(residue.words(speech))))
+    assert m.document(speech)[0] == set()
+    assert m.document(speech + "the requested url was not found on this server " + speech)[0] == {"server"}
+    assert m.document(speech + "\nvelum lorem contas sit dolumque tares ipsum merga quam nolis " * 30 + speech)[0] == {"filler"}
