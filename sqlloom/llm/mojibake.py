@@ -238,12 +238,12 @@ class Judge:
         if self._known(p):
             return 0, None
         s = self.model.scores(p)
-        order = np.argsort(-s[1:])[:6] + 1
+        order = np.argsort(-s[1:], kind="stable") + 1
         best = int(order[0])
         if s[best] <= s[0]:
             if _LOST in p:
                 return best, None
-            for k in map(int, np.argsort(-s[1:])[:12] + 1):  # too short to tell, unless it leads to a known piece
+            for k in map(int, order):  # too short to tell, unless it leads to a known piece
                 if not _letterwise(CHAINS[k - 1]) and (back := invert(p, CHAINS[k - 1])) is not None and self._known(back):
                     return k, back
             return 0, None
@@ -251,9 +251,9 @@ class Judge:
         for k in map(int, order):
             if s[k] <= s[0]:
                 break
-            if _letterwise(CHAINS[k - 1]) and far < 3:
-                continue
             back = None if _LOST in p else invert(p, CHAINS[k - 1])
+            if _letterwise(CHAINS[k - 1]) and far < 3 and (back is None or not self._known(back)):
+                continue
             if back is None or back == p or _LOST in back or re.search("[\x00-\x08\x0e-\x1f\x80-\x9f]", back):
                 continue
             if self._known(back):
