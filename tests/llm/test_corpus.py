@@ -88,6 +88,20 @@ def test_queries(spark, name):
     assert df.count() == df.dropDuplicates().count()
 
 
+def test_inclusion_grows_with_size_and_refined_bins_agree(spark, monkeypatch):
+    df = spark.range(30000).selectExpr("id AS doc_id", "'a' AS source", "IF(id % 2 = 0, 10L, 160L) AS n_tokens").unionByName(spark.range(30000, 30010).selectExpr("id", "'b'", "4000000L"))
+    targets = spark.createDataFrame([("a", 0.02, 2), ("b", 0.98, 1)], "source string, target_share double, max_repeats int")
+    got = mixture.mixed(df, targets)
+    n = {r.n_tokens: r.n for r in got.where("source = 'a'").groupBy("n_tokens").agg({"uses": "sum"}).withColumnRenamed("sum(uses)", "n").collect()}
+    assert 3.6 < n[160] / n[10] < 4.4  # the square root of 16
+    whole = sorted(got.collect())
+    monkeypatch.setattr(mixture, "BINS", 8)
+    monkeypatch.setattr(mixture, "EDGE", 5)
+    assert sorted(mixture.mixed(df, targets).collect()) == whole
+    twice = {r.doc_id: r.uses for r in mixture.mixed(df.unionByName(df.where("doc_id < 9")), targets).collect()}
+    assert len(twice) == 30010
+
+
 #: Everyday notices and slots that were written after the exemplars and are in none of them.
 HELD_OUT = ["We could not find the page you were looking for (404).", "Whoops! An unexpected error has occurred, please go back to the home page.", "You need to enable scripts in your browser in order to use this application.", "Your login session has expired, please log in again.", "Gateway timeout (504)", "The site is undergoing scheduled maintenance. Check back soon.", "Erreur 500 : erreur interne du serveur", "Bitte aktivieren Sie JavaScript in Ihrem Browser!", "La página que busca ya no existe.", "Il servizio non è al momento disponibile: errore interno del server.", "系統維護中，請稍後再試", "页面不存在", "このページを表示するには JavaScript を有効にしてください", "Dear [First Name],", "Yours, {{sender_signature_line}}", "Meeting on [DATE TO BE CONFIRMED]", "[hier Text einfügen]", "Sample text only, delete before publishing.", "Sed ut perspiciatis unde omnis iste natus error sit voluptatem.", "Texte provisoire, à compléter", "%%RECIPIENT_CITY%%", "Contact: <phone number>"]
 
