@@ -5,12 +5,15 @@
    name, each with its terms: the cue before it (words, or the column a literal is compared
    with), the shape of its digits, its last word, its name parts. Mentions are few and short;
    they are written once to a table in the shared folder, the texts are not.
-2. Seeds are the mentions known without statistics: formats that leave no doubt, names both of
-   whose parts are listed, numbers behind words like "phone". Their co-occurrence with every
-   term over the whole corpus gives each term's disclosure: the share of its mentions that are
-   protected, so how much it reveals.
-3. Mentions whose terms disclose more than the thresholds are the cases; in the text they are
-   generalised to the placeholder of their kind.
+2. Seeds are mentions that one of their terms suggests: names both of whose parts are listed,
+   numbers behind words like "phone", written-out e-mail addresses. They decide nothing by
+   themselves. Their co-occurrence with the other terms over the whole corpus gives each term's
+   disclosure: the smoothed share of its mentions that are protected, so how much it reveals.
+   The disclosure of a cue comes from the shapes of what stands behind it, that of a shape from
+   the cues before it, that of a name part from cues, titles and, of a listed one, the other part; lists of words
+   count only as ``PRIOR`` earlier mentions, which contrary ones outweigh.
+3. Mentions whose terms disclose more than the thresholds are the cases, whether seeds or not;
+   in the text they are generalised to the placeholder of their kind.
 """
 
 from __future__ import annotations
@@ -19,19 +22,24 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Thresholds: the least share of protected mentions from which a term discloses its entity.
-SHAPE = 0.15  # digit shapes and street types
-CUE = 0.2  # cues of names
-PART = 0.5  # name parts
-LEAST = 3  # mentions a term needs before its share counts
-
-# Words and columns that announce an entity, and common street types.
-PHONE_CUES = frozenset("tel telephone phone call mobile cell fax 電話 手機 傳真 tel_no phone_no mobile_no fax_no phone tel".split())
-ID_CUES = frozenset("id idno ssn passport 身分證 證號 身分證字號 citizen_id id_no national_id person_id".split())
-ADDRESS_CUES = frozenset("address lives addr 地址 住址 addr_line address_line addr_txt".split())
+SHAPE = 0.15  # digit shapes, street types, ends of e-mail addresses
+BEHIND = 0.5  # cues of numbers and addresses
+CUE = 0.2  # cues of names, titles, first signs of Chinese names
+PART = 0.5  # name parts, alone or together behind a cue
+JOINT = 0.75  # two name parts together without a cue
+CONTRARY = 0.05  # a part with less is mostly no name
+LEAST = 3  # mentions a cue or an unlisted part needs before its share counts
+PRIOR = 2.0  # mentions that a place in a list of words counts for
+LISTED = 0.9  # share of protected ones among those
+
+# Words that announce an entity, and common street types.
+PHONE_CUES = frozenset("tel telephone phone call mobile cell fax 電話 手機 傳真".split())
+ID_CUES = frozenset("id idno ssn passport identity 身分證 證號 身分證字號".split())
+ADDRESS_CUES = frozenset("address lives addr 地址 住址".split())
 STREETS = frozenset("street st road rd avenue ave lane ln close crescent terrace way boulevard blvd square sq drive dr court ct place pl row".split())
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Mme|Sr|Sra"
 
@@ -51,6 +59,7 @@ _NUMBER = re.compile(r"(?<![\w.,:-])(?:[A-Za-z][ -]?(?=\d{9}(?!\d)|\d{3}-\d{3}-\
 _STREET = re.compile(
     r"(?<!\w)(?:No\.? ?\d+[A-Za-z]?, (?:(?:Lane|Alley) \d+, )?|\d+[A-Za-z]? )(?:[A-Z][\w'’]*\.? ){1,3}?[A-Z][A-Za-z]+\b\.?(?:,? (?i:flat|floor|unit|apt|apartment|suite|room|level)\.? ?\w+)?(?:, [A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)?(?: \d{4,6})?(?![\w]))?"
 )
+_FULL = re.compile(r"(?i:\b(?:flat|floor|unit|apt|apartment|suite|room|level)\.? ?\w+)|, [A-Z]|[樓楼層层]|[市縣县區区].*[路街道巷段弄]")  # written out: with a flat or a place
 _HAN_STREET = re.compile(rf"[{_HAN}]{{2,12}}[路街道巷段弄](?:[一二三四五六七八九十0-9０-９]+[段巷弄])*\s*[0-9０-９]+(?:之\d+)?[號号](?:[0-9０-９]+[樓楼层層F])?(?:之[0-9０-９]+)?")
 _NAME = r"(?:[A-Z][a-zà-ÿ'’]+(?:-[A-Z][a-zà-ÿ]+)?|[A-Z]{2,}(?:-[A-Z]+)?)(?![\w])"
 _PERSON = re.compile(rf"(?<![\w.@-])(?:({TITLES})\.? ({_NAME})(?: (?:[A-Z]\.? )?({_NAME}))?|({_NAME})(?:,? )(?:[A-Z]\. )?({_NAME}))")
@@ -60,8 +69,14 @@ _CUE = re.compile(rf"(?:([A-Za-z_]+)\.? )?([A-Za-z_]+)[.:：]?\s*[(<\[]?\s*$|([{
 
 def cue_before(text: str, at: int) -> str:
     """The word that leads to a span, lower case (of Chinese text its last three characters)."""
-    before = text[max(0, at - 48) : at].replace("\n", " ")
-    if not (m := _CUE.search(before)):
+    width = 48
+    while True:
+        before = text[max(0, at - width) : at]
+        m = _CUE.search(before.replace("\n", " "))
+        if len(before) < width or m and m.start() > 0 or not m and before[-1:].strip():
+            break
+        width *= 2  # the match may begin further back
+    if not m:
         return ""
     if m.group(3):
         return m.group(3)[-3:]
@@ -76,11 +91,12 @@ def shape(span: str) -> str:
 
 
 def _seed(kinds: tuple[tuple[frozenset[str], str], ...], cue: str) -> str | None:
-    words = set(cue.split(" ")) | {cue}
+    words = {w for w in re.split(r"[ _\d]+", cue) if w != "id"} | {cue}  # "id" tells by itself, not at the end of a column's name
     return next((k for cues, k in kinds if words & cues or any(c in cue for c in cues if c > "一")), None)
 
 
 _NUMBER_SEEDS = ((PHONE_CUES, "phone"), (ID_CUES, "id_number"))
+_STREET_SEEDS = ((ADDRESS_CUES, "address"),)
 _Mention = tuple[int, int, str, str, str, str | None, str | None, str | None]
 
 
@@ -101,8 +117,7 @@ def _in_columns(t: str) -> dict[int, str]:
 class Collector:
     """Mentions of texts; what it made of a literal is kept for its next occurrence."""
 
-    def __init__(self, given: frozenset[str], family: frozenset[str]):
-        self.given, self.family = given, family
+    def __init__(self) -> None:
         self.literals: dict[str, tuple] = {}
         self.listed: tuple[str | None, dict[int, str]] = (None, {})  # the last text with long lists and the columns of their entries
 
@@ -112,7 +127,7 @@ class Collector:
         rest = text
         if "@" in text or "at" in text or "AT" in text:
             for m in _MAIL.finditer(text):
-                out.append((m.start(), m.end(), "mail", "", m.group().rpartition(".")[2].lower()[-12:], None, None, "email"))
+                out.append((m.start(), m.end(), "mail", "", re.split(r"\W+", m.group())[-1].lower(), None, None, "email" if "@" in m.group() else None))
                 rest = rest[: m.start()] + "·" * (m.end() - m.start()) + rest[m.end() :]
         digits = any(c.isdigit() for c in rest)
         if digits:
@@ -125,8 +140,7 @@ class Collector:
                     else:
                         sign = "號"
                     cue = "" if whole else cue_before(rest, m.start())
-                    known = sign in STREETS or sign == "號" or _seed(((ADDRESS_CUES, "address"),), cue)
-                    out.append((m.start(), m.end(), "street", cue, sign, None, None, "address" if known else None))
+                    out.append((m.start(), m.end(), "street", cue, sign, None, None, "address" if whole and len(m.group()) == len(text.strip()) or _FULL.search(m.group()) else _seed(_STREET_SEEDS, cue) if cue else None))
                     rest = rest[: m.start()] + "·" * (m.end() - m.start()) + rest[m.end() :]
             for m in _NUMBER.finditer(rest):
                 if sum(c.isdigit() for c in m.group()) < 7:
@@ -140,7 +154,7 @@ class Collector:
                 cue = "" if whole else cue_before(rest, m.start())
                 if whole or cue:
                     first = m.group()[0]
-                    out.append((m.start(), m.end(), "han", cue, str(len(m.group())), first, m.group(), "person" if first in self.family else None))
+                    out.append((m.start(), m.end(), "han", cue, str(len(m.group())), first, m.group(), None))
         at = 0
         while m := _PERSON.search(rest, at):
             title, a, b = m.group(1), m.group(2) or m.group(4), m.group(3) or m.group(5)
@@ -148,16 +162,11 @@ class Collector:
             if not title and a.isupper() != b.isupper():
                 at = m.end(4)  # a capital word before a name is no part of it
                 continue
-            known = (x in self.given and y in self.family) or (x in self.family and y in self.given)
-            seed = "person" if known or title and (x in self.family or y in self.family) else None
-            sign = "title" if title else "comma" if "," in m.group() else "pair"
+            sign = "title:" + title.lower() if title else "comma" if "," in m.group() else "pair"
             cue = "" if whole else cue_before(rest, m.start())
-            if not title and not known and not whole and x not in self.given and x not in self.family and y not in self.given and y not in self.family and cue == "":
-                at = m.end(4)
-                out.append((m.start(), m.end(), "name", cue, sign, x, y, None))
-                continue
-            out.append((m.start(), m.end(), "name", cue, sign, x, y, seed))
-            at = m.end()
+            out.append((m.start(), m.end(), "name", cue, sign, x, y, None))
+            # Without a cue the first word may be none of the name, so the next pair begins at the second.
+            at = m.end(4) if not title and not whole and not cue else m.end()
         return out
 
     def literal(self, value: str) -> tuple:
@@ -200,15 +209,23 @@ class Collector:
         return out
 
     def _add(self, t: str, base: int, found: tuple, out: list[_Mention]) -> None:
-        before = t[max(0, base - 61) : base - 1]
-        name = column.group(1) if (column := _COLUMN.search(before)) else None
+        width, name = 60, None
+        while True:
+            before = t[max(0, base - 1 - width) : base - 1]
+            column = _COLUMN.search(before)
+            if len(before) < width or column and column.start() > 0 or not column and before.rstrip()[-1:] == ",":
+                break
+            if not column and before.strip() and before.rstrip()[-1] not in "=<>!^(eEnN":
+                break
+            width *= 2  # the column may begin further back
+        name = column.group(1) if column else None
         if name is None and before.rstrip()[-1:] == ",":
             if self.listed[0] is not t:
                 self.listed = t, _in_columns(t)
             name = self.listed[1].get(base)
         cue = (name or "literal").lower()
         for a, b, cls, _, sign, x, y, seed in found:
-            out.append((base + a, base + b, cls, cue, sign, x, y, _seed(_NUMBER_SEEDS, cue) if cls == "number" else seed))
+            out.append((base + a, base + b, cls, cue, sign, x, y, _seed(_NUMBER_SEEDS, cue) if cls == "number" else seed or _seed(_STREET_SEEDS, cue) if cls == "street" else seed))
 
     def _literals(self, t: str, out: list[_Mention]) -> None:
         if "''" in t or t.count("'") % 2:
@@ -226,13 +243,11 @@ class Collector:
 _SCHEMA = "key long, field string, start int, stop int, cls string, cue string, sign string, part1 string, part2 string, seed string"
 
 
-def collect(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...], names: DataFrame) -> DataFrame:
+def collect(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...]) -> DataFrame:
     """All mentions in the text columns ``fields`` (name, whether it holds plans)."""
-    listed = [(r[0].lower(), r[1]) for r in names.select("part_text", "part_kind").where("part_text IS NOT NULL").limit(100_000).collect()]
-    given, family = (frozenset(a for a, k in listed if k == kind) for kind in ("given", "family"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Collector(given, family)
+        c = Collector()
         schema = pa.schema([("key", pa.int64()), ("field", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), *((n, pa.string()) for n in ("cls", "cue", "sign", "part1", "part2", "seed"))])
         for b in batches:
             rows = []
@@ -247,51 +262,70 @@ def collect(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...], names
     return df.select(F.col(key).cast("long"), *(F.col(f) for f, _ in fields)).where(" OR ".join(f"`{f}` IS NOT NULL" for f, _ in fields)).mapInArrow(run, _SCHEMA)
 
 
+def _smoothed(support: Column, prior: Column | float) -> Column:
+    """The share of supported mentions of a group, with ``PRIOR`` earlier ones of which a share ``prior`` was supported."""
+    return (F.sum(support) + PRIOR * (F.lit(prior) if isinstance(prior, float) else prior)) / (F.count("*") + PRIOR)
+
+
+def _shaped(mentions: DataFrame) -> DataFrame:
+    """Numbers, addresses and e-mails with the ``kind`` that their shape or their cue discloses."""
+    kinds = ("phone", "id_number", "address", "email")
+    rows = mentions.where("cls IN ('number', 'street', 'mail')")
+    listed = F.max((F.col("cls") == "street") & F.col("sign").isin("號", *STREETS)).cast("double") * LISTED
+    shapes = rows.groupBy("cls", "sign").agg(*(_smoothed((F.coalesce("seed", F.lit("")) == k).cast("int"), listed if k == "address" else 0.0).alias(f"s_{k}") for k in kinds))
+    rows = rows.join(shapes, ["cls", "sign"])
+    told = rows.where("cue NOT IN ('', 'literal')")
+    cues = told.groupBy("cls", "cue").agg(F.count("*").alias("n"), *(_smoothed(F.col(f"s_{k}"), F.max(F.coalesce(F.col("seed") == k, F.lit(False))).cast("double")).alias(f"c_{k}") for k in kinds)).where(F.col("n") >= LEAST).drop("n")
+    rows = rows.join(cues, ["cls", "cue"], "left").na.fill(0.0, [f"c_{k}" for k in kinds])
+    # A kind that a shape or a cue discloses; of several the strongest.
+    scores = [F.when((F.col(f"s_{k}") >= SHAPE) | (F.col(f"c_{k}") >= BEHIND), F.greatest(f"s_{k}", f"c_{k}")) for k in kinds]
+    best = F.greatest(*(F.coalesce(s, F.lit(0.0)) for s in scores))
+    kind = F.coalesce(*(F.when((s == best) & (best > 0), k) for s, k in zip(scores, kinds)))
+    return rows.withColumn("kind", kind).where("kind IS NOT NULL")
+
+
+def _people(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Names that their cue, title and parts disclose."""
+    listed = names.where("part_text IS NOT NULL").groupBy(F.lower("part_text").alias("part")).agg(F.max(F.col("part_kind") == "given").alias("given"), F.max(F.col("part_kind") == "family").alias("family"))
+    rows = mentions.where("cls IN ('name', 'han')")
+    for p in ("1", "2"):
+        rows = rows.join(listed.select(F.col("part").alias("part" + p), F.col("given").alias("given" + p), F.col("family").alias("family" + p)), "part" + p, "left").na.fill(False, ["given" + p, "family" + p])
+    known1, known2 = F.col("given1") | F.col("family1"), F.col("given2") | F.col("family2")
+    title = F.col("sign").startswith("title:")
+    seed = F.when(F.col("cls") == "han", F.col("family1")).otherwise((F.col("given1") & F.col("family2")) | (F.col("family1") & F.col("given2")) | (title & (F.col("family1") | F.col("family2"))))
+    rows = rows.withColumn("known1", known1).withColumn("known2", known2).withColumn("seeded", seed.cast("int"))
+    # Cues and titles disclose by the seeds behind them.
+    cues = rows.groupBy("cue").agg(F.count("*").alias("n"), F.sum("seeded").alias("s")).where((F.col("n") >= LEAST) & (F.col("s") >= CUE * F.col("n"))).select("cue", F.lit(True).alias("strong"))
+    titles = rows.where(title).groupBy("sign").agg(_smoothed(F.col("seeded"), LISTED).alias("d")).where(F.col("d") >= CUE).select("sign", F.lit(True).alias("titled"))
+    rows = rows.join(cues, "cue", "left").join(titles, "sign", "left").na.fill(False, ["strong", "titled"])
+    # A part discloses by the cue and the title of its mentions; a listed one by another listed one too.
+    outside = F.col("strong") | F.col("titled")
+    both = (F.col("cls") == "name") & F.col("known1") & F.col("known2")
+    one = rows.where("part1 IS NOT NULL").select("cls", F.col("part1").alias("part"), F.col("known1").alias("known"), (outside | both).cast("int").alias("support"))
+    two = rows.where("part2 IS NOT NULL AND cls = 'name'").select("cls", F.col("part2").alias("part"), F.col("known2").alias("known"), (outside | both).cast("int").alias("support"))
+    parts = one.unionByName(two).groupBy("cls", "part").agg(_smoothed(F.col("support"), F.max(F.col("known").cast("double")) * LISTED).alias("d"), F.max("known").alias("known"), F.count("*").alias("n"))
+    parts = parts.where(F.col("known") | (F.col("n") >= LEAST))
+    for p in ("1", "2"):
+        rows = rows.join(parts.select("cls", F.col("part").alias("part" + p), F.col("d").alias("d" + p)), ["cls", "part" + p], "left").na.fill(0.0, ["d" + p])
+    d1, d2 = F.col("d1"), F.col("d2")
+    joint = 1 - (1 - d1) * (1 - d2)
+    person = (  # a name that stands behind no telling cue needs two telling parts, one of them listed
+        F.when(F.col("cls") == "han", F.col("strong") & (d1 >= CUE))
+        .when(F.col("titled"), F.lit(True))
+        .when(F.col("strong"), joint >= PART)
+        .otherwise((joint >= JOINT) & (F.least(d1, d2) >= CONTRARY) & (F.col("known1") | (d1 >= PART)) & (F.col("known2") | (d2 >= PART)) & (F.col("known1") | F.col("known2")))
+    )
+    return rows.where(person).withColumn("kind", F.lit("person"))
+
+
 def judged(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """The mentions that disclose a protected entity, with its ``kind``.
 
     ``mentions`` should be a written table, for it is read several times. Every statistic is a
-    pre-aggregated count over all mentions; terms with fewer than ``LEAST`` mentions disclose
-    nothing by themselves.
+    pre-aggregated count over all mentions.
     """
-    parts = F.broadcast(names.select(F.lower("part_text").alias("part")).where("part_text IS NOT NULL").distinct().limit(100_000))
-    known1 = parts.select(F.col("part").alias("part1"), F.lit(True).alias("known1"))
-    known2 = parts.select(F.col("part").alias("part2"), F.lit(True).alias("known2"))
-
-    numbers = mentions.where("cls IN ('number', 'street')")
-    share = numbers.groupBy("cls", "sign").agg(
-        F.count("*").alias("n"), *(F.sum(F.when(F.col("seed") == k, 1).otherwise(0)).alias(k) for k in ("phone", "id_number", "address"))
-    )
-    strongest = F.greatest("phone", "id_number", "address")
-    kind = F.when(strongest < SHAPE * F.col("n"), None).when(F.col("n") < LEAST, None).when(F.col("phone") == strongest, "phone").when(F.col("id_number") == strongest, "id_number").otherwise("address")
-    by_sign = share.select("cls", "sign", kind.alias("by_sign")).where("by_sign IS NOT NULL")
-    shaped = numbers.join(by_sign, ["cls", "sign"], "left").withColumn("kind", F.coalesce("by_sign", "seed")).where("kind IS NOT NULL")
-
-    people = mentions.where("cls IN ('name', 'han')").join(known1, "part1", "left").join(known2, "part2", "left").na.fill(False, ["known1", "known2"])
-    cues = people.groupBy("cue").agg(F.count("*").alias("n"), F.sum(F.when(F.col("seed").isNotNull(), 1).otherwise(0)).alias("s"))
-    strong_cues = cues.where((F.col("n") >= LEAST) & (F.col("s") >= CUE * F.col("n"))).select("cue", F.lit(True).alias("strong"))
-    people = people.join(strong_cues, "cue", "left").na.fill(False, ["strong"])
-
-    support = (F.col("strong") | (F.col("sign") == "title")).cast("int")
-    both = [people.select("cls", F.col(p).alias("part"), support.alias("support")).where("part IS NOT NULL") for p in ("part1", "part2")]
-    words = both[0].unionByName(both[1].where("cls = 'name'")).groupBy("cls", "part").agg(F.count("*").alias("n"), F.sum("support").alias("s"))
-    telling = words.where((F.col("n") >= LEAST) & (F.col("s") >= PART * F.col("n")))
-    t1, t2 = (telling.select("cls", F.col("part").alias(p), F.lit(True).alias(f"telling{p[-1]}")) for p in ("part1", "part2"))
-    people = people.join(t1, ["cls", "part1"], "left").join(t2, ["cls", "part2"], "left").na.fill(False, ["telling1", "telling2"])
-    first, second = F.col("known1") | F.col("telling1"), F.col("known2") | F.col("telling2")
-    person = (  # a name that stands behind no telling cue needs two telling parts
-        F.when(F.col("cls") == "han", F.col("strong") & first)
-        .when(F.col("sign") == "title", F.lit(True))
-        .when(F.col("seed").isNotNull(), F.lit(True))
-        .when(F.col("strong"), first | second)
-        .otherwise(first & second & (F.col("known1") | F.col("known2")))
-    )
     columns = ["key", "field", "start", "stop", "kind"]
-    return (
-        mentions.where("cls = 'mail'").withColumn("kind", F.lit("email")).select(columns)
-        .unionByName(shaped.select(columns))
-        .unionByName(people.where(person).withColumn("kind", F.lit("person")).select(columns))
-    )
+    return _shaped(mentions).select(columns).unionByName(_people(mentions, names).select(columns))
 
 
 def redacted(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...], found: DataFrame) -> DataFrame:

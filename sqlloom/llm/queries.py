@@ -62,7 +62,7 @@ _PRIVATE = (("sql", False), ("plan_text", True))
 def _personal(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "name_parts")
     rows = spread(table(spark, folder, "submissions").select("submission_id", "sql", "plan_text"))
-    return personal.judged(written(personal.collect(rows, "submission_id", _PRIVATE, names)), names)
+    return personal.judged(written(personal.collect(rows, "submission_id", _PRIVATE)), names)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,7 +89,7 @@ def test_queries(spark, name):
 
 
 def test_inclusion_grows_with_size_and_refined_bins_agree(spark, monkeypatch):
-    df = spark.range(30000).selectExpr("id AS doc_id", "'a' AS source", "IF(id % 2 = 0, 10L, 160L) AS n_tokens").unionByName(spark.range(30000, 30010).selectExpr("id", "'b'", "4000000L"))
+    df = spark.range(30000).selectExpr("id AS doc_id", "'a' AS source", "IF(id % 2 = 0, 10L, 160L) AS n_tokens").unionByName(spark.range(30000, 30010).selectExpr("id AS doc_id", "'b' AS source", "4000000L AS n_tokens"))
     targets = spark.createDataFrame([("a", 0.02, 2), ("b", 0.98, 1)], "source string, target_share double, max_repeats int")
     got = mixture.mixed(df, targets)
     n = {r.n_tokens: r.n for r in got.where("source = 'a'").groupBy("n_tokens").agg({"uses": "sum"}).withColumnRenamed("sum(uses)", "n").collect()}

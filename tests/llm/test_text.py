@@ -175,7 +175,7 @@ def test_personal_data(spark):
     df, want = personal_frame(spark)
     names = spark.createDataFrame(PEOPLE, "part_text string, part_kind string")
     fields = (("sql", False), ("plan_text", True))
-    found = personal.judged(personal.collect(df, "submission_id", fields, names).cache(), names).dropDuplicates()
+    found = personal.judged(personal.collect(df, "submission_id", fields).cache(), names).dropDuplicates()
     got = {}
     for r in found.collect():
         got.setdefault((r.key, r.field), set()).add(r.kind)
@@ -185,4 +185,26 @@ def test_personal_data(spark):
     assert red[902].plan_text.endswith("mail <EMAIL>") and red[900].sql is None and red[901].sql == ""
     i = next(k for k, v in want.items() if v == "phone")
     assert red[i].sql.startswith("-- tel <PHONE>\nSELECT a FROM t")
-    assert personal.judged(personal.collect(df.limit(0), "submission_id", fields, names), names).count() == 0
+    assert personal.judged(personal.collect(df.limit(0), "submission_id", fields), names).count() == 0
+
+
+def test_disclosure_rejects_what_lists_suggest(spark):
+    """A listed cue, street type or name part that the corpus mostly uses otherwise discloses nothing."""
+    rows = [f"-- call {1000000 + i}.{i % 7}\nSELECT 1 FROM t" for i in range(3)]  # shapes that stand elsewhere as well
+    rows += [f"-- batch {2000000 + i}.{i % 7}\nSELECT 1 FROM t" for i in range(200)]
+    rows += [f"-- call +44 20 7946 {1000 + i}\nSELECT 1 FROM t" for i in range(2)]
+    rows += [f"-- see Mark {w}\nSELECT 1 FROM t" for w in ("Sheet", "Column", "Table", "Row") for _ in range(60)]
+    rows += ["-- Mark Lane wrote it\nSELECT 1 FROM t", "-- by Ada Kestrane\nSELECT 1 FROM t"] + [f"-- {i} Lane closures, Lane {i}\nSELECT 1" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "submission_id long, sql string")
+    names = spark.createDataFrame([("Mark", "given", "latin"), ("Lane", "family", "latin"), ("Ada", "given", "latin"), ("Kestrane", "family", "latin")], "part_text string, part_kind string, script string")
+    got = {(r.key, r.kind) for r in personal.judged(personal.collect(df, "submission_id", (("sql", False),)), names).collect()}
+    assert {k for k, kind in got if kind == "phone"} == {203, 204}
+    assert {rows[k] for k, kind in got if kind == "person"} == {"-- by Ada Kestrane\nSELECT 1 FROM t"}
+
+
+def test_cues_far_back_count(spark):
+    wide, many = " " * 500, ", ".join(["'x'"] * 2000)
+    assert personal.cue_before(f"owner:{wide}Ada", 506) == "owner"
+    c = personal.Collector()
+    assert c.text(f"SELECT 1 FROM t WHERE tel_no {wide} = '415-555-0199'", False)[0][3] == "tel_no"
+    assert c.text(f"SELECT 1 FROM t WHERE tel_no IN ({many}, '415-555-0199')", False)[0][3] == "tel_no"
