@@ -17,13 +17,15 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.sources.scratch import written
+
 # Letters that look like the Latin letter (or digit) under them.
 _TWINS = (
     ("асԁеһіјӏорԛѕԝхуѵ", "acdehijlopqswxyv"),  # Cyrillic
@@ -181,35 +183,29 @@ class Reader:
             found = self.scores[key] = math.log((tri + 0.02) / (bi + 1.0)) + 0.5 * math.log(bi + 0.5)
         return found
 
-    @staticmethod
-    def _switch(a: str, b: str) -> bool:
-        x, y = script(a) if a else "", script(b)
-        return bool(x and y and x != y)
-
     def read(self, token: str) -> str:
+        """The best reading of a token of any length: states are two letters and the script last met."""
         if (found := self.known.get(token)) is not None:
             return found
-        if len(token) > 256:  # the paths of a lattice grow with it; parts are read by themselves
-            return "".join(self.read(token[i : i + 256]) for i in range(0, len(token), 256))
-        columns = []
-        for c in token:
-            latin = _LATIN.get(c, c)
-            columns.append(list(dict.fromkeys([c, latin, *_OTHERS.get(latin, ())])))
-        states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-        for at, choices in enumerate([*columns, [""]]):
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, path) in states.items():
-                for c in choices:
-                    s = score
-                    if b:
-                        s += self.score(a, b, c)
-                    if c:
-                        prev = next((p for p in reversed(path) if script(p)), "")
-                        s += (self.SWITCH if self._switch(prev, c) else 0.0) + (self.CHANGE if c != token[at] else 0.0)
-                    if (old := after.get((b, c))) is None or s > old[0]:
-                        after[b, c] = (s, path + c)
+        # A state's score, and the way to it as (letter, way before).
+        states: dict[tuple[str, str, str], tuple[float, tuple | None]] = {("", "", ""): (0.0, None)}
+        for own in (*token, ""):
+            latin = _LATIN.get(own, own)
+            choices = [(c, script(c) if c else "", self.CHANGE if c != own else 0.0) for c in dict.fromkeys([own, latin, *_OTHERS.get(latin, ())])]
+            after: dict[tuple[str, str, str], tuple[float, tuple | None]] = {}
+            for (a, b, before), (score, way) in states.items():
+                for c, s, cost in choices:
+                    new = score + cost + (self.score(a, b, c) if b else 0.0) + (self.SWITCH if s and before and s != before else 0.0)
+                    state = (b, c, s or before)
+                    if (old := after.get(state)) is None or new > old[0]:
+                        after[state] = (new, (c, way))
             states = after
-        best = max(states.values(), key=lambda x: x[0])[1]
+        way = max(states.values(), key=lambda x: x[0])[1]
+        letters = []
+        while way is not None:
+            letters.append(way[0])
+            way = way[1]
+        best = "".join(reversed(letters))
         if len(self.known) < 200_000:
             self.known[token] = best
         return best
@@ -249,11 +245,27 @@ def one_form(df: DataFrame, key: str, text: str, counts: tuple[np.ndarray, np.nd
 def same_looking(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of keys of two results of ``one_form`` with equal form and different text, each pair once.
 
-    Only 128-bit hashes of the forms and 64-bit hashes of the texts are shuffled.
+    Only 128-bit hashes of the forms and 64-bit hashes of the texts are shuffled. Rows are first
+    collapsed to classes of equal text; classes of equal form and different text are joined, and
+    only those are expanded to keys, so that texts met unchanged on both sides cost nothing.
     """
+    form = ["h1", "h2"]
 
     def hashed(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("key").alias(name), F.xxhash64("form").alias("h1"), F.xxhash64(F.lit(7), "form").alias("h2"), F.xxhash64("text").alias(f"raw_{name}"))
 
-    pairs = hashed(left, "left_key").join(hashed(right, "right_key"), ["h1", "h2"]).where("raw_left_key <> raw_right_key")
-    return pairs.select("left_key", "right_key").dropDuplicates()
+    a, b = written(hashed(left, "left_key").dropDuplicates()), written(hashed(right, "right_key").dropDuplicates())
+    classes = a.select(*form, "raw_left_key").dropDuplicates().join(b.select(*form, "raw_right_key").dropDuplicates(), form).where("raw_left_key <> raw_right_key")
+    return classes.join(a, [*form, "raw_left_key"]).join(b, [*form, "raw_right_key"]).select("left_key", "right_key")
+
+
+def same_looking_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The same result in linear size: ``side, key, class_id, writing`` of every row whose form occurs in different texts.
+
+    ``class_id`` is the hash of the form, ``writing`` that of the text: members of one class with
+    different writings look alike.
+    """
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(n).alias("side"), "key", F.xxhash64("form").alias("class_id"), F.xxhash64("text").alias("writing")) for n, df in (("left", left), ("right", right))))
+    rows = written(rows.dropDuplicates())
+    mixed = rows.groupBy("class_id").agg(F.min("writing").alias("a"), F.max("writing").alias("z")).where("a <> z").select("class_id")
+    return rows.join(mixed, "class_id", "left_semi")

@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.sources.once import first_of, key_hash, repeated, split
+from sqlloom.sources.scratch import written
+
 # Thresholds: the least share of protected mentions from which a term discloses its entity.
 SHAPE = 0.15  # digit shapes, street types, ends of e-mail addresses
 BEHIND = 0.5  # cues of numbers and addresses
@@ -332,9 +335,14 @@ def redacted(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...], foun
     """``key`` and the text columns with typed placeholders in place of the findings; all else unchanged.
 
     Null and empty texts stay as they are. Of overlapping findings the first and longest counts.
+    Of a row delivered twice the least by its texts stays. Only rows that may hold a finding or be
+    delivered twice are shuffled with their texts; the others stay where they are.
     """
-    spans = found.dropDuplicates(["key", "field", "start", "stop"]).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("field", "start", "stop", "kind")).alias("_spans"))
-    rows = df.select(F.col(key).cast("long").alias(key), *(F.col(f) for f, _ in fields)).dropDuplicates([key]).join(spans, F.col(key) == F.col("_key"), "left").drop("_key")
+    found = written(found.select("key", "field", "start", "stop", "kind").dropDuplicates())
+    spans = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("field", "start", "stop", "kind")).alias("_spans"))  # those of one text
+    rows = df.select(F.col(key).cast("long").alias(key), *(F.col(f) for f, _ in fields))
+    alone, maybe = split(rows, key, repeated(rows, key).union(found.select(key_hash("key")).distinct()))
+    maybe = first_of(maybe, key).join(spans, F.col(key) == F.col("_key"), "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,4 +359,4 @@ def redacted(df: DataFrame, key: str, fields: tuple[tuple[str, bool], ...], foun
                         texts[i][r] = "".join([*out, texts[i][r][at:]])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(t, pa.string()) for t in texts)], [key, *(f for f, _ in fields)])
 
-    return rows.mapInArrow(run, f"`{key}` long, " + ", ".join(f"`{f}` string" for f, _ in fields))
+    return alone.unionByName(maybe.mapInArrow(run, f"`{key}` long, " + ", ".join(f"`{f}` string" for f, _ in fields)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlloom.llm import bpe, lookalike, mixture, mojibake, personal, repeats, residue
+from sqlloom.sources.once import once
 from sqlloom.sources.scratch import written
 from sqlloom.sources.tables import spread, table
 
@@ -24,8 +25,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     left, right = _forms(spark, folder)
-    named = [df.select(F.lit(n).alias("table_name"), F.col("key").alias("row_id"), F.col("form").alias("sql_form")) for n, df in (("submissions", left), ("sql_extracts", right))]
-    return named[0].union(named[1]).dropDuplicates()
+    named = [once(df.select(F.lit(n).alias("table_name"), F.col("key").alias("row_id"), F.col("form").alias("sql_form")), "row_id") for n, df in (("submissions", left), ("sql_extracts", right))]
+    return named[0].union(named[1])
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.same_looking_classes(*_forms(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,5 +112,5 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").join(_residue(spark, folder).select("doc_id"), "doc_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_uses, p7_shares, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p2_classes, p3_found, p3_statements, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_uses, p7_shares, p8_found, p8_kept)}
 ORACLE: dict[str, str] = {}

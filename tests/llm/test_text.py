@@ -208,3 +208,14 @@ def test_cues_far_back_count(spark):
     c = personal.Collector()
     assert c.text(f"SELECT 1 FROM t WHERE tel_no {wide} = '415-555-0199'", False)[0][3] == "tel_no"
     assert c.text(f"SELECT 1 FROM t WHERE tel_no IN ({many}, '415-555-0199')", False)[0][3] == "tel_no"
+
+
+def test_repeats_in_ranges_of_hashes(spark):
+    """A filter too small for the rows is cut into ranges; sets stay the same and few singletons pass."""
+    df = spark.range(60_000).selectExpr("id", "concat('SELECT a, b FROM t', md5(string(IF(id % 20 = 0, id % 500, id))), ' WHERE x = ', id % 20) AS sql")
+    want = sorted(repeats.members(df, "id", "sql").collect())
+    got = sorted(repeats.members(df, "id", "sql", 1 << 16).collect())
+    assert got == want and len(want) == 3000 - 25
+    assert len(repeats.filters(df.select("sql"), 1 << 18)) == 1 and len(repeats.filters(df.select("sql"), 1 << 16)) >= 1
+    passed = repeats.sieve(df, "id", "sql", 1 << 16).where("hash IS NOT NULL").count()
+    assert 3000 <= passed < 3000 + 0.02 * 60_000
