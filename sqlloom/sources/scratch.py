@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,16 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, as in tests, a temporary folder, set for the session."""
+    """``spark.checkpoint.dir`` of the session; only where that is unset in local mode, as in tests, a temporary folder, set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
         folder = "file://" + tempfile.mkdtemp(prefix="sqlloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once to a table in the shared folder and read from there: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/sqlloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    """The rows, written once to a table in the shared folder and read from there: cuts the lineage and survives lost executors.
+
+    ``parts``: columns whose values get a directory each, so that readers of one value read that alone.
+    The tables of a session go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sqlloom-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    _remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_paths: list[str] = []
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    if not _paths:
+        atexit.register(_remove, spark)
+    _paths.append(path)
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        context = spark.sparkContext
+        for path in _paths:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended before: its folder is the cluster's to clear
+        pass
