@@ -8,7 +8,9 @@ conditions joined by AND are levelled. Everything else stays, comments included.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
 
 _FAST = re.compile(
     r"""[nN]?'(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?m:^)[ \t]*(?:[Rr][Ee][Mm](?:[Aa][Rr][Kk])?|[Pp][Rr][Oo][Mm][Pp][Tt])\b[^\n]*|"[^"]*"|[\w$#]+(?:\.\d+)?|<=|>=|<>|!=|\^=|\|\||:=|=>|\(\+\)|\.\.|[^\s\w]"""
@@ -21,6 +23,7 @@ _COND = frozenset(("WHERE", "HAVING", "ON"))
 _SELECT_END = frozenset(("FROM", "INTO", "UNION", "MINUS", "INTERSECT", "EXCEPT", "WHERE", "BULK", "ORDER"))
 _SET_END = frozenset(("WHERE", "RETURNING", "LOG", "WHEN", "DELETE", "FROM"))
 _SEP = "\x1f"
+_LONG = 1000
 
 
 def fold(text: str) -> str:
@@ -36,6 +39,8 @@ class _Group:
     __slots__ = ("text", "query", "parts")
 
     def __init__(self, text: str, query: bool, parts: list[list[str]] | None):
+        if len(text) > _LONG:  # stands for itself by its hash, so that deep brackets don't copy it level by level
+            text = _SEP + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
         self.text, self.query, self.parts = text, query, parts
 
 
@@ -242,6 +247,9 @@ def canonical(sql: str | None) -> str | None:
     if "/" in sql:
         sql = _SLASH.sub(";", sql)
     toks = _tokens(sql)
+    limit = sys.getrecursionlimit()
+    # Brackets nest by calls: a level takes at most three of them.
+    sys.setrecursionlimit(max(limit, 1000 + 4 * toks.count("(")))
     try:
         r = _Reader(toks)
         out = []
@@ -250,6 +258,6 @@ def canonical(sql: str | None) -> str | None:
             if r.i < r.n and r.t[r.i] == ")":  # a bracket too many
                 out.append(")")
                 r.i += 1
-    except RecursionError:  # brackets hundreds deep: the tokens in their order
-        out = [t for t in toks if t != ";"]
+    finally:
+        sys.setrecursionlimit(limit)
     return _SEP.join(x for x in out if x) or None
