@@ -85,10 +85,31 @@ PATTERNS = (
 )
 
 
-def patterns_frame(spark: SparkSession) -> DataFrame:
+#: What a context says about a pattern: our own wording.
+GUIDANCE = {
+    "SUBSTR_EQ_TO_LIKE": "A prefix or inner part compared by SUBSTR can be compared by LIKE with the same result.",
+    "OR_SAME_COLUMN_TO_IN": "Equality tests of one column joined by OR can be one IN list with the same result.",
+    "NOT_IN_SUBQUERY_TO_NOT_EXISTS": "NOT IN over a subquery gives nothing where the subquery yields a null; NOT EXISTS differs there.",
+    "OR_CROSS_COLUMN_TO_UNION_ALL": "An OR over several columns may be split, if rows that meet both sides are kept once.",
+    "CORRELATED_SUBQUERY_TO_JOIN_OR_WINDOW": "A subquery run for each outer row may be one join or window, if it yields at most one row.",
+    "LATEST_ROW_CORRELATED_MAX": "Several subqueries for the latest row may be gathered in one, if ties are treated alike.",
+    "REPEATED_SCALAR_AGGREGATE": "Several aggregates over one source may be gathered in one pass with conditional aggregates.",
+    "COMPOSITE_KEY_EXPRESSION_JOIN": "A join on an expression hides the columns beneath; joining on bare columns needs equal types.",
+    "REPEATED_SOURCE_UNION_BRANCH": "Branches over one source may read it once, if the conditions of the branches do not overlap.",
+    "DISTINCT_REMOVAL": "DISTINCT can go only where the joined keys prove that no row repeats.",
+    "STRING_CONCAT_PREDICATE_SPLIT": "A condition on concatenated columns may be split, if the parts have fixed lengths.",
+    "LEADING_WILDCARD_LIKE": "A pattern that begins with a wildcard can't narrow a search by its beginning.",
+    "CARTESIAN_JOIN_MISSING_CONDITION": "Tables without a join condition multiply; a condition in WHERE should be checked.",
+    "SELECT_STAR": "Naming the columns needed reads fewer of them.",
+    "IMPORTANT_TABLE_USAGE": "A watched table is used; its owner's range conditions should be checked.",
+    "STRUCTURAL_COMPLEXITY_MANY_TABLES": "Many tables are joined; each join condition should be checked.",
+}
+
+
+def patterns_frame(spark: SparkSession, patterns: tuple[tuple, ...] = PATTERNS) -> DataFrame:
     """One row for each pattern and signal: pos, pattern_id, classification, how (exact or family), source, signal."""
     rows = []
-    for pos, (pid, cls, source, exact, family, _) in enumerate(PATTERNS):
+    for pos, (pid, cls, source, exact, family, _) in enumerate(patterns):
         rows += [(pos, pid, cls, "exact", s) for s in exact] + [(pos, pid, cls, "family", s) for s in family]
     return spark.createDataFrame(rows, "pos int, pattern_id string, classification string, how string, signal string")
 
@@ -96,3 +117,61 @@ def patterns_frame(spark: SparkSession) -> DataFrame:
 def evidence_frame(spark: SparkSession) -> DataFrame:
     rows = [(pos, p[0], p[1], e) for pos, p in enumerate(PATTERNS) for e in p[5]]
     return spark.createDataFrame(rows, "pos int, pattern_id string, classification string, evidence_id string")
+
+
+class CatalogError(ValueError):
+    """A catalog file that can't be used."""
+
+
+_CLASSES = (_V, _A, _I, _O)
+_SOURCES = ("rewrite", "flag", "rule", "structure", "none")
+
+
+def load_catalog(path: str) -> tuple[tuple, ...]:
+    """Patterns from a JSON file in place of ``PATTERNS``: ``{"version": 1, "patterns": [{"id", "classification", "source", "exact", "family", "evidence"}, ...]}``.
+
+    Another version, a missing or doubled id, an unknown class or source, or lists that aren't of
+    texts are errors: a catalog is never used in part.
+    """
+    import json
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except (OSError, ValueError) as e:
+        raise CatalogError(f"{path}: {e}") from None
+    if not isinstance(data, dict) or data.get("version") != 1 or not isinstance(data.get("patterns"), list):
+        raise CatalogError(f"{path}: no catalog of version 1")
+    out, seen = [], set()
+    for p in data["patterns"]:
+        lists = [p.get(k, []) if isinstance(p, dict) else None for k in ("exact", "family", "evidence")]
+        if not isinstance(p, dict) or not isinstance(p.get("id"), str) or p["id"] in seen or p.get("classification") not in _CLASSES or p.get("source", "none") not in _SOURCES or any(not isinstance(x, list) or any(not isinstance(y, str) for y in x) for x in lists):
+            raise CatalogError(f"{path}: bad pattern {p!r:.80}")
+        seen.add(p["id"])
+        out.append((p["id"], p["classification"], p.get("source", "none"), *map(tuple, lists)))
+    return tuple(out)
+
+
+def load_settings(path: str) -> Settings:
+    """Settings from a JSON file; unknown names and values of another type are errors."""
+    import dataclasses
+    import json
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    except (OSError, ValueError) as e:
+        raise CatalogError(f"{path}: {e}") from None
+    if not isinstance(data, dict) or data.pop("version", None) != 1:
+        raise CatalogError(f"{path}: no settings of version 1")
+    known = {f.name: f.default for f in dataclasses.fields(Settings)}
+    values = {}
+    for name, value in data.items():
+        if name not in known:
+            raise CatalogError(f"{path}: unknown setting {name}")
+        want = known[name]
+        value = frozenset(value) if isinstance(want, frozenset) and isinstance(value, list) else tuple(tuple(v) if isinstance(v, list) else v for v in value) if isinstance(want, tuple) and isinstance(value, list) else float(value) if isinstance(want, float) and type(value) is int else value
+        if type(value) is not type(want):
+            raise CatalogError(f"{path}: {name} is no {type(want).__name__}")
+        values[name] = value
+    return Settings(**values)

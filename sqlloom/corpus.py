@@ -58,7 +58,7 @@ TEMPLATES: tuple[Template, ...] = (
     T("MERGE INTO case_hist h USING case_note s ON (h.id = s.id) WHEN MATCHED THEN UPDATE SET h.x = @K", "MERGE", True, "CASE_HIST,CASE_NOTE", False, None, None),
     T("SELECT a.x, b.y, c.z, d.w FROM t1 a, t2 b, t3 c, t4 d WHERE a.i = b.i AND c.n = @K", "SELECT", True, "T1,T2,T3,T4", True, True, None, flags="cartesian_join"),
     T("SELECT a.x FROM t1 a, t2 b WHERE a.i = b.i(+) AND ROWNUM <= 10", "SELECT", True, "T1,T2", True, True, None, flags="cartesian_join,outer_join,rownum"),
-    T("SELECT DISTINCT a.x FROM case_note a WHERE a.i NOT IN (SELECT b.i FROM doc_scan b WHERE b.n = @K)", "SELECT", True, "CASE_NOTE,DOC_SCAN", True, True, None, flags="distinct,distinct_or_union,not_in_subquery"),
+    T("SELECT DISTINCT a.x FROM case_note a WHERE a.i NOT IN (SELECT b.i FROM doc_scan b WHERE b.n = @K)", "SELECT", True, "CASE_NOTE,DOC_SCAN", True, True, None, flags="distinct,not_in_subquery"),
     T("SELECT a.x FROM case_note a WHERE EXISTS (SELECT 1 FROM doc_scan b WHERE b.i = a.i AND b.n = @K)", "SELECT", True, "CASE_NOTE,DOC_SCAN", True, True, None, flags="correlated_subquery"),
     T("SELECT a.k, COUNT(*), SUM(a.n) OVER (PARTITION BY a.k) FROM case_note a WHERE a.n > @Q GROUP BY a.k", "SELECT", True, "CASE_NOTE", True, True, None, flags="group_by_aggregate,window_function"),
     T("SELECT LEVEL FROM case_note START WITH p IS NULL CONNECT BY PRIOR id = p", "SELECT", True, "CASE_NOTE", True, False, None, flags="connect_by"),
@@ -68,6 +68,28 @@ TEMPLATES: tuple[Template, ...] = (
 )
 N = len(TEMPLATES)
 
+#: Statements whose flags tell top level from nested, queries from changes; (sql, flags, points they score), by hand.
+FLAG_TEMPLATES: tuple[tuple[str, str, int], ...] = (
+    ("SELECT a.x FROM case_note a WHERE EXISTS (SELECT * FROM doc_scan u, t2 v WHERE u.n = @K)", "", 0),
+    ("INSERT INTO case_hist SELECT * FROM case_note t, doc_scan u WHERE t.n = @K", "", 0),
+    ("SELECT a.x FROM case_note a NATURAL JOIN doc_scan b WHERE a.n = @K", "cartesian_join", 6),
+    ("SELECT a.x FROM case_note a CROSS JOIN doc_scan b WHERE a.n = @K", "", 0),
+    ("DELETE FROM case_note WHERE n = @K AND i NOT IN (SELECT b.i FROM doc_scan b WHERE b.n = @Q)", "", 0),
+    ("UPDATE case_note SET amt = @Q WHERE i IN (SELECT i FROM doc_scan UNION SELECT i FROM t2)", "distinct_or_union,set_operation", 3),
+    ("SELECT DISTINCT a.x FROM case_note a WHERE a.n = @K", "distinct", 0),
+    ("SELECT q.x FROM (SELECT DISTINCT x FROM case_note WHERE n = @K) q WHERE q.x > 1", "", 0),
+    ("SELECT a.* FROM case_note a WHERE a.n = @K", "", 0),
+    ("SELECT q.x FROM (SELECT x FROM case_note WHERE ROWNUM <= 5 AND n = @K) q WHERE q.x > 1", "rownum", 0),
+    ("SELECT SUM(a.n) OVER (ORDER BY a.k) FROM case_note a WHERE a.n = @K", "group_by_aggregate,window_function", 0),
+    ("SELECT a.x, (SELECT MAX(b.n) FROM doc_scan b WHERE b.m = @K) FROM case_note a WHERE a.n = @Q", "group_by_aggregate", 0),
+    ("SELECT a.x FROM case_note a WHERE a.d = (SELECT MAX(h.d) FROM doc_scan h WHERE h.i = a.i) AND a.t = (SELECT MAX(g.t) FROM doc_scan g WHERE g.i = a.i) AND a.n = @K", "correlated_subquery,repeated_correlated_max_subquery", 0),
+    ("SELECT a.x, (SELECT COUNT(*) FROM doc_scan d1 WHERE d1.i = a.i) c1, (SELECT COUNT(*) FROM doc_scan d2 WHERE d2.i = a.i) c2 FROM case_note a WHERE a.n = @K", "correlated_subquery,group_by_aggregate,repeated_scalar_aggregate", 0),
+    ("SELECT a.x FROM case_note a WHERE a.n = @K MINUS SELECT b.x FROM doc_scan b WHERE b.i NOT IN (SELECT i FROM t2)", "distinct_or_union,not_in_subquery,set_operation", 5),
+    ("SELECT * FROM case_note a, doc_scan b WHERE a.n = @K OR b.m = @Q", "cartesian_join,cross_column_or,select_star", 8),
+    ("MERGE INTO case_hist h USING (SELECT * FROM case_note, doc_scan) s ON (h.id = s.id) WHEN MATCHED THEN UPDATE SET h.x = @K", "", 0),
+    ("SELECT a.x FROM case_note a WHERE a.n = @K UNION ALL SELECT b.x FROM (SELECT x FROM t2 UNION SELECT x FROM t3) b", "distinct_or_union,set_operation", 3),
+)
+
 
 #: Alterations of a statement as (pattern, what replaces it), or a text put behind it, or a statement instead of it.
 ALTERATIONS: dict[str, tuple[str, ...]] = {
@@ -103,14 +125,14 @@ REASONS: dict[str, tuple[str, dict[str | None, tuple[int, ...]]]] = {
     "table": ("tables", {"type": _CHANGES, "unreadable": (31,), "identical": (32,)}),
     "hint": ("hint", {"type": _CHANGES, "unreadable": (31, 32)}),
     "rownum": ("rownum", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "type": (19, 20)}),
-    "distinct": ("structure:distinct_or_union", {"identical": _NO_SELECT_FIRST, "structure:distinct": (9,), "hint": (11,), "rownum": (25,), "unreadable": (26,)}),
+    "distinct": ("structure:distinct", {"identical": _NO_SELECT_FIRST, "hint": (11,), "rownum": (25,), "unreadable": (26,)}),
     "column": ("signature:select_count", {"identical": _NO_SELECT_FIRST, "hint": (11,), "rownum": (25,), "unreadable": (26,)}),
     "order": ("signature:order_by", {"unreadable": (18, 19, 20, 22, 23, 31, 32), "hint": (11,), "type": (21,), "rownum": (25,)}),
     "no_where": ("where", {"identical": (1, 2, 3, 4, 5, 6, 18, 21, 22, 23, 29, 31, 32), "unreadable": (7, 8), "tables": (9, 26, 27), "structure:set_operation": (10,), "hint": (11,), "type": (19, 20), "rownum": (25,), "signature:group_by_count": (28,)}),
     "added": ("predicate_added", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "predicate_changed": (15,), "type": (19, 20), "rownum": (25,), "skeleton": (29,)}),
     "wild": ("more_findings", {"unreadable": _NO_CONDITION_LAST, "hint": (11,), "type": (19, 20), "rownum": (25,), "skeleton": (29,)}),
     "name": ("skeleton", {"identical": (1, 11, *_NO_SELECT_FIRST), "rownum": (25,), "unreadable": (26,)}),
-    "changed": ("predicate_lost", {"identical": (1, 2, 3, 8, 13, 21, 22, 28, 32), "hint": (11,), "predicate_changed": (15,), "unreadable": (18, 19, 23, 31), "type": (20,), "rownum": (25,), "skeleton": (29,)}),
+    "changed": ("predicate_lost", {"blocks": (9,), "identical": (1, 2, 3, 8, 13, 21, 22, 28, 32), "hint": (11,), "predicate_changed": (15,), "unreadable": (18, 19, 23, 31), "type": (20,), "rownum": (25,), "skeleton": (29,)}),
     "own": ("missing", {None: (15, 17)}),
 }
 
@@ -135,12 +157,12 @@ def altered(sql: Column, how: Column) -> Column:
     return out
 
 
-def submissions(orders: DataFrame) -> DataFrame:
+def submissions(orders: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     """``submission_id, template, cost_raw, sql`` and the other columns of a submission."""
-    picked = F.element_at(F.array(*(F.lit(t.sql) for t in TEMPLATES)), (F.col("template") + 1))
+    picked = F.element_at(F.array(*(F.lit(t[0]) for t in templates)), (F.col("template") + 1))
     q = F.floor("o_totalprice").cast("string")
     text = F.replace(F.replace(picked, F.lit("@K"), F.col("o_orderkey").cast("string")), F.lit("@Q"), q)
-    base = orders.withColumn("template", F.pmod(F.col("o_orderkey"), F.lit(N)).cast("int"))
+    base = orders.withColumn("template", F.pmod(F.col("o_orderkey"), F.lit(len(templates))).cast("int"))
     return base.select(
         F.col("o_orderkey").cast("long").alias("submission_id"), "template", F.concat(F.lit("AP-"), F.col("o_orderkey").cast("string")).alias("application_no"), q.alias("cost_raw"),
         text.alias("sql"), F.lit(None).cast("string").alias("plan_text"), F.lit(True).alias("include_ai"), F.col("o_orderdate").alias("submitted_at"),
@@ -151,6 +173,12 @@ def _q(v: object) -> str:
     return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
 
+def expected_flags() -> str:
+    """SQL: ``submission_id, flags, structure_score`` of every order for ``FLAG_TEMPLATES``."""
+    rows = ", ".join(f"({i}, {_q(flags)}, {points})" for i, (_, flags, points) in enumerate(FLAG_TEMPLATES))
+    return f"WITH t(template, flags, points) AS (VALUES {rows}) SELECT CAST(o.o_orderkey AS BIGINT) AS submission_id, t.flags, CAST(t.points AS DOUBLE) AS structure_score FROM orders o JOIN t ON o.o_orderkey % {len(FLAG_TEMPLATES)} = t.template"
+
+
 def expected_cte() -> str:
     """SQL: CTE ``e`` with one row an order and the hand-written facts of its template."""
     names = "template, kind, ok, tables, applicable, has_where, restriction, ors, likes, functions, flags, hint, rewrites, any_rewrite"

@@ -52,9 +52,8 @@ def context_tier(tokens: Column, base: int = 16384, most: int = 32768, reply: in
 
 
 def sql_looking(c: Column) -> Column:
-    """Whether a fragment is SQL rather than prose: no Chinese characters outside literals, and some operator or keyword."""
-    plain = F.regexp_replace(c, r"'(?:[^']|'')*'", "")
-    return ~plain.rlike("[\\x{3400}-\\x{9FFF}]") & plain.rlike(r"(?i)[=<>()]|\b(SELECT|LIKE|IN|BETWEEN|EXISTS|IS)\b")
+    """Whether a fragment is SQL rather than prose: no Chinese characters or full-width signs outside literals."""
+    return ~F.regexp_replace(c, r"'(?:[^']|'')*'", "''").rlike("[\\x{3400}-\\x{9FFF}\\x{FF00}-\\x{FFEF}\\x{3000}-\\x{303F}]")
 
 
 def confidence_band(c: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlloom.sqlast.facts import facts
-from sqlloom.sqlast.facts import blank_literals
 from sqlloom.sqlast.split import segments
 
 _START = re.compile(r"^\s*(?:SELECT|WITH|INSERT\s+INTO|UPDATE|DELETE(?:\s+FROM)?|MERGE\s+INTO|DECLARE|BEGIN|CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION|PACKAGE|TRIGGER))\b", re.I)
@@ -23,41 +22,75 @@ _CELL = re.compile(r"^\s*(?:SELECT|WITH|INSERT|UPDATE|DELETE|MERGE)\b", re.I)
 _CELL_WORD = re.compile(r"\b(?:FROM|SET|INTO)\b", re.I)
 
 
-def _depth(text: str) -> int:
-    plain = re.sub(r"--[^\n]*|/\*.*?\*/", " ", blank_literals(text), flags=re.S)
-    return plain.count("(") - plain.count(")")
+_SIGN = re.compile(r"[()]|--|/\*|(?<![^\W_])[nN]?'")
+
+
+class _Brackets:
+    """Open brackets of a text fed line by line, outside literals and comments: each line is read once."""
+
+    def __init__(self) -> None:
+        self.depth, self.inside = 0, ""
+
+    def feed(self, line: str) -> None:
+        at = 0
+        while True:
+            if self.inside:
+                end = line.find(self.inside, at)
+                if end < 0:
+                    return
+                at, self.inside = end + len(self.inside), ""
+                if line.startswith("'", at) and line[end] == "'":  # a doubled mark
+                    at, self.inside = at + 1, "'"
+                    continue
+            m = _SIGN.search(line, at)
+            if not m or m.group() == "--":
+                return
+            at = m.end()
+            if m.group() in "()":
+                self.depth += 1 if m.group() == "(" else -1
+            else:
+                self.inside = "*/" if m.group() == "/*" else "'"
 
 
 def trim_prose(block: str) -> str:
     """Paragraphs of a block as long as they continue the statement or brackets are open."""
     parts = re.split(r"\n[ \t]*\n+", block)
-    kept = [parts[0]]
+    kept, brackets = [parts[0]], _Brackets()
+    for line in parts[0].split("\n"):
+        brackets.feed(line)
     for p in parts[1:]:
         if kept[-1].rstrip().endswith(";") and not _START.match(p):
             break
-        if _CONTINUES.match(p) or _depth("\n".join(kept)) > 0:
-            kept.append(p)
-        else:
+        if not _CONTINUES.match(p) and brackets.depth <= 0:
             break
+        kept.append(p)
+        for line in p.split("\n"):
+            brackets.feed(line)
     return "\n\n".join(kept).strip()
 
 
+_GOES_ON = re.compile(r"(?:\bUNION(?:\s+ALL)?|\bMINUS|\bINTERSECT|\bEXCEPT|\bTHEN)\s*$", re.I)
+
+
 def candidates(text: str) -> list[str]:
     """Blocks that begin at a line with a statement keyword outside open brackets, without trailing prose."""
     blocks: list[list[str]] = []
-    continues_with = False
+    brackets, last, with_or_insert = _Brackets(), "", False
     for line in text.split("\n"):
         starts = bool(_START.match(line))
-        if starts and blocks and (_depth("\n".join(blocks[-1])) > 0 or continues_with and re.match(r"\s*(?:SELECT|UPDATE|DELETE)\b", line, re.I)):
+        # WITH .. SELECT, INSERT .. SELECT and set operations go on with another keyword.
+        goes_on = not last.endswith(";") and (with_or_insert or bool(_GOES_ON.search(last)))
+        if starts and blocks and (brackets.depth > 0 or goes_on and re.match(r"\s*(?:SELECT|UPDATE|DELETE)\b", line, re.I)):
             starts = False
         if starts:
             blocks.append([line])
+            brackets, last, with_or_insert = _Brackets(), "", bool(re.match(r"\s*(?:WITH|INSERT)\b", line, re.I))
         elif blocks:
             blocks[-1].append(line)
         if blocks:
-            head = "\n".join(blocks[-1]).strip()
-            # WITH .. SELECT, INSERT .. SELECT and set operations go on with another keyword.
-            continues_with = bool(re.search(r"(?:\bUNION(?:\s+ALL)?|\bMINUS|\bINTERSECT|\bEXCEPT|\bTHEN)\s*$", head, re.I) or re.match(r"(?:WITH|INSERT)\b", head, re.I)) and not head.endswith(";")
+            brackets.feed(line)
+            if line.strip():  # two lines, for UNION and ALL may stand apart
+                last = f"{last.rpartition(chr(10))[2]}\n{line.strip()}"
     return [b for b in (trim_prose("\n".join(x)) for x in blocks) if b]
 
 

@@ -37,27 +37,45 @@ def representative(statements: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("submission_id").agg(best.alias("idx"))
 
 
-def replies(df: DataFrame) -> DataFrame:
-    """Replies with their verdict: ``submission_id, status, failure, summary, confidence, n_advice, outcome``.
+def whole_json(c: Column) -> Column:
+    """A JSON text as a variant; null unless it is one value to its end. The parser alone stops behind the first value, so it reads the text as the one item of a list."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.try_parse_json(c))
+
 
-    Failures in this order: no_reply, truncated, bad_json, no_summary, short_summary, wrong_language,
-    bad_confidence, too_much_advice. Numbers have to be whole and from 0 to 100; true, text and
-    decimals are no numbers. Of several replies to a submission the first good one counts, else the last.
+def replies(df: DataFrame) -> DataFrame:
+    """Replies with their verdict: ``submission_id, status, failure, summary, confidence, n_advice, outcome, h``.
+
+    Failures in this order: no_reply, truncated, bad_json, no_summary, wrong_language (20 characters
+    and more without a Chinese one), bad_confidence, bad_advice (no list, or an item without title,
+    explanation or confidence), too_much_advice, no_suggestion, bad_outcome. Numbers have to be
+    whole and from 0 to 100; true, text and decimals are no numbers. A missing advice list is empty.
+    Of several replies to a submission the first good one counts, else the last; ``h`` is the hash
+    that finds it again.
     """
     j = F.col("reply_json")
-    parsed = F.try_parse_json(j)
+    parsed = whole_json(j)
     raw = lambda path: F.get_json_object(j, path)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
     summary, confidence = raw("$.summary"), raw("$.assessment_confidence_score")
-    advice = F.try_variant_get(parsed, "$.advice", "array<variant>")
+    has = kind("$.advice")
+    items = F.from_json(raw("$.advice"), "array<struct<title:string, explanation:string, confidence_score:string>>")
+    types = F.transform(F.try_variant_get(parsed, "$.advice", "array<variant>"), F.schema_of_variant)
+    number = F.greatest(F.coalesce(F.size(types), F.lit(0)), F.lit(0))
+    well = F.forall(types, lambda t: t.rlike(r"\btitle: STRING") & t.rlike(r"\bexplanation: STRING") & t.rlike(r"\bconfidence_score: BIGINT")) & F.forall(items, lambda i: i["confidence_score"].rlike(_NUMBER))
+    outcome = raw("$.suggested_sql.rewrite_outcome")
     failure = (
         F.when(j.isNull() | (F.trim(j) == ""), "no_reply").when(F.col("finish_reason") == "length", "truncated").when(parsed.isNull() | ~j.rlike(r"^\s*\{"), "bad_json")
-        .when(summary.isNull() | (kind("$.summary") != "STRING"), "no_summary").when(F.length(F.trim(summary)) < 20, "short_summary").when(~summary.rlike("[\\x{4E00}-\\x{9FFF}]"), "wrong_language")
-        .when(confidence.isNull() | ~kind("$.assessment_confidence_score").isin("BIGINT") | ~confidence.rlike(_NUMBER), "bad_confidence").when(advice.isNull(), "no_advice").when(F.size(advice) > 3, "too_much_advice")
+        .when(summary.isNull() | (kind("$.summary") != "STRING"), "no_summary").when((F.length(summary) >= 20) & ~summary.rlike("[\\x{4E00}-\\x{9FFF}]"), "wrong_language")
+        .when(confidence.isNull() | ~kind("$.assessment_confidence_score").isin("BIGINT") | ~confidence.rlike(_NUMBER), "bad_confidence")
+        .when(has.isNotNull() & ~F.coalesce(has.startswith("ARRAY"), F.lit(False)), "bad_advice").when(number > 3, "too_much_advice").when((number > 0) & ~F.coalesce(well, F.lit(False)), "bad_advice")
+        .when(~F.coalesce((kind("$.suggested_sql.available") == "BOOLEAN") & (kind("$.suggested_sql.reason") == "STRING"), F.lit(False)), "no_suggestion")
+        .when(outcome.isNotNull() & ~outcome.isin("not_needed", "advice_only"), "bad_outcome")
     )
-    rows = df.select("submission_id", "replied_at", F.xxhash64("finish_reason", "reply_json").alias("h"), failure.alias("failure"), summary.alias("summary"), F.when(confidence.rlike(_NUMBER), confidence.try_cast("int")).alias("confidence"), F.size(advice).alias("n_advice"), raw("$.suggested_sql.rewrite_outcome").alias("outcome"))
-    order = F.struct(F.col("failure").isNotNull(), F.when(F.col("failure").isNull(), F.unix_micros(F.col("replied_at").cast("timestamp"))).otherwise(-F.unix_micros(F.col("replied_at").cast("timestamp"))), "h")
-    best = rows.groupBy("submission_id").agg(F.min_by(F.struct("failure", "summary", "confidence", "n_advice", "outcome"), order).alias("r"))
+    rows = df.select("submission_id", "replied_at", F.xxhash64("finish_reason", "reply_json").alias("h"), failure.alias("failure"), summary.alias("summary"), F.when(confidence.rlike(_NUMBER), confidence.try_cast("int")).alias("confidence"), number.alias("n_advice"), outcome.alias("outcome"))
+    at = F.unix_micros(F.col("replied_at").cast("timestamp"))
+    order = F.struct(F.col("failure").isNotNull(), F.when(F.col("failure").isNull(), at).otherwise(-at), "h")
+    best = rows.groupBy("submission_id").agg(F.min_by(F.struct("failure", "summary", "confidence", "n_advice", "outcome", "h"), order).alias("r"))
     return best.select("submission_id", F.when(F.col("r.failure").isNull(), "ok").otherwise("unavailable").alias("status"), "r.*")
 
 
@@ -67,7 +85,7 @@ def advice(df: DataFrame) -> DataFrame:
     Words of the wrong vocabulary are replaced in order; an item with a forbidden phrase is marked ``dropped``.
     """
     item = "array<struct<title:string, explanation:string, example:string, confidence_score:string>>"
-    rows = df.dropDuplicates(["submission_id", "reply_json"]).select("submission_id", F.posexplode(F.from_json(F.get_json_object("reply_json", "$.advice"), item)).alias("pos", "a")).where("pos < 3")
+    rows = df.where(whole_json(F.col("reply_json")).isNotNull()).dropDuplicates(["submission_id", "reply_json"]).select("submission_id", F.posexplode(F.from_json(F.get_json_object("reply_json", "$.advice"), item)).alias("pos", "a")).where("pos < 3")
 
     def plain(c: Column) -> Column:
         for old, new in VOCABULARY:
@@ -87,11 +105,15 @@ def calibrated(confidence: Column, unparsed: Column, rejected: Column, dropped:
     return F.least(confidence, F.when(unparsed | rejected | dropped, 59).when(corrected | gated, 79).otherwise(100))
 
 
-def potential(evidence: DataFrame, found: DataFrame, reply: DataFrame) -> DataFrame:
-    """Improvement potential of answered submissions: high from two pieces of evidence, medium from one, low from rule findings, notice_only from watched tables."""
-    proofs = evidence.groupBy("submission_id").agg(F.countDistinct("evidence_id").alias("proofs"))
-    rules = found.groupBy("submission_id").agg(F.max((F.col("status") == "BLOCK") | F.col("rule_id").isin("R004", "R005", "R006")).alias("hard"), F.max(F.col("rule_id") == "R007").alias("watched"))
-    rows = reply.where("status = 'ok'").select("submission_id").join(proofs, "submission_id", "left").join(rules, "submission_id", "left")
-    level = F.when(F.col("proofs") >= 2, "high").when(F.col("proofs") == 1, "medium").when(F.col("hard"), "low").when(F.col("watched"), "notice_only")
-    return rows.select("submission_id", level.alias("potential"))
+def potential(outcomes: DataFrame, found: DataFrame) -> DataFrame:
+    """Improvement potential of answered submissions, with the number of proofs.
 
+    A proved full rewrite and every proved advice item is a proof: high from two, medium with one;
+    without, low if a finding blocks or is about the writing or there is any advice, notice_only if
+    there are other notices, else null.
+    """
+    proofs = F.size(F.filter("advice", lambda a: F.coalesce(a["verification"].isin("verified", "corrected"), F.lit(False)))) + (F.col("outcome") == "provided").cast("int")
+    rules = found.groupBy("submission_id").agg(F.max((F.col("status") == "BLOCK") | (F.col("status") == "NOTICE") & F.col("rule_id").isin("R004", "R005", "R006")).alias("hard"), F.max(F.col("status") == "NOTICE").alias("noticed"))
+    rows = outcomes.select("submission_id", proofs.alias("proofs"), F.size("advice").alias("n_advice")).join(rules, "submission_id", "left")
+    level = F.when(F.col("proofs") >= 2, "high").when(F.col("proofs") == 1, "medium").when(F.coalesce("hard", F.lit(False)) | (F.col("n_advice") > 0), "low").when(F.col("noticed"), "notice_only")
+    return rows.select("submission_id", level.alias("potential"), "proofs")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.sources.once import once
 from sqlloom.sqlast.lexer import is_open, tokens
 
 _SHORT = re.compile(r"[A-Za-z0-9%_]*")
@@ -65,9 +66,14 @@ def _mask_frame(sqls: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["masked_sql", "reverse_map", "hints"])
 
 
-def mask_udf(sql: Column | str) -> Column:
-    """``mask`` of a column as a struct."""
-    return F.pandas_udf(_mask_frame, _MASKED)(sql)
+def _mask_years_frame(sqls: pd.Series) -> pd.DataFrame:
+    rows = [mask_years(mask(s)) if s is not None else (None, None, None) for s in sqls]
+    return pd.DataFrame(rows, columns=["masked_sql", "reverse_map", "hints"])
+
+
+def mask_udf(sql: Column | str, years: bool = False) -> Column:
+    """``mask`` of a column as a struct; with ``years`` what a model sees, years hidden as well."""
+    return F.pandas_udf(_mask_years_frame if years else _mask_frame, _MASKED)(sql)
 
 
 def unmask(masked: Column, reverse: Column) -> Column:
@@ -82,12 +88,27 @@ def scrub_invented(text: Column, known: Column) -> Column:
     return F.aggregate(F.array_except(found, known), text, lambda acc, name: F.replace(acc, name, F.lit(":VALUE")))
 
 
-def mask_years(sql: Column) -> Column:
-    """The year in ``TO_CHAR(.., 'YYYY') = 'dddd'`` hidden."""
-    return F.regexp_replace(sql, r"(?i)(TO_CHAR\s*\([^()]*,\s*'YYYY'\s*\)\s*=\s*)'\d{4}'", "$1:STR_YEAR")
+_YEAR = re.compile(r"(\bTO_CHAR\s*\([^)]*,\s*'YYYY'\s*\)\s*=\s*)('[0-9]{4}')", re.I)
+
+
+def mask_years(masked: tuple[str, dict[str, str], dict[str, dict]]) -> tuple[str, dict[str, str], dict[str, dict]]:
+    """``mask``'s result with the year in ``TO_CHAR(.., 'YYYY') = 'dddd'`` hidden too, under the next free string number, and reversible."""
+    sql, reverse, hints = masked
+    last = max((int(k[5:]) for k in reverse if k.startswith(":STR_")), default=0)
+    reverse, hints = dict(reverse), dict(hints)
+
+    def hide(m: re.Match[str]) -> str:
+        nonlocal last
+        last += 1
+        name = f":STR_{last:03d}"
+        reverse[name] = m.group(2)
+        hints[name] = {"kind": "string", "length": 4, "wildcard": "none", "shape": "digits", "literal_type": "year_value"}
+        return m.group(1) + name
+
+    return _YEAR.sub(hide, sql), reverse, hints
 
 
 def masked(df: DataFrame, key: str = "submission_id", text: str = "sql") -> DataFrame:
-    """``key, masked_sql, reverse_map, hints`` of each key; null texts give nulls."""
-    return df.select(F.col(key), F.col(text).alias("_t")).dropDuplicates([key]).select(F.col(key), mask_udf("_t").alias("m")).select(key, "m.*")
+    """``key, masked_sql, reverse_map, hints`` of each key, of several rows the least text; null texts give nulls."""
+    return once(df.select(F.col(key), F.col(text).alias("_t")), key).select(F.col(key), mask_udf("_t").alias("m")).select(key, "m.*")
 

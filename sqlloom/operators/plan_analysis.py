@@ -117,7 +117,7 @@ def metrics(df: DataFrame, key: str = "plan_id", text: str = "plan_text") -> Dat
 
 def plans(df: DataFrame, steps: DataFrame, measured: DataFrame, key: str = "plan_id", expected: str | None = "expected_cost") -> DataFrame:
     """One row a plan: ``key, recognized, n_steps, source, root_cost, cost_matches``; texts without a grid are unrecognised."""
-    runtime = F.max(F.greatest(*(F.col(c).isNotNull() for c in ("actual_rows", "starts", "buffers", "reads"))))
+    runtime = F.max(F.greatest(*(F.col(c).isNotNull() for c in ("actual_rows", "starts", "buffers", "reads", "actual_time"))))
     grid = steps.groupBy("key").agg(
         F.count("*").alias("n_steps"), runtime.alias("runtime"), F.min_by("cost", F.when(F.col("step_id") == 0, F.col("seq"))).alias("zero"), F.min_by(F.struct("cost"), "seq").alias("first")
     )
@@ -138,15 +138,29 @@ def cardinality_ratio(estimated: Column, actual: Column, starts: Column) -> Colu
     return F.when(high == 0, 1.0).when(low == 0, float("inf")).otherwise(high / low)
 
 
-def observations(steps: DataFrame, plan: DataFrame) -> DataFrame:
-    """``key, code, step_id, detail`` from steps with predicate lists and the plan rows."""
-    full = steps.where(label(F.col("operation"), F.col("options")).contains("TABLE ACCESS FULL")).select("key", F.lit("TABLE_ACCESS_FULL").alias("code"), "step_id", F.col("object_name").alias("detail"))
+def observations(steps: DataFrame, plan: DataFrame, substr_keys: DataFrame | None = None) -> DataFrame:
+    """``key, n, code, level, step_id, detail`` from steps with predicate lists and the plan rows.
+
+    ``n`` numbers the observations of a plan from 1: cost first, then by step (full scan, functions
+    in filter order, cardinality, the last only where the plan has runtime statistics), at the end
+    the first step that filters by SUBSTR, for plans in ``substr_keys`` (key), whose statement has
+    a provable SUBSTR rewrite.
+    """
+    actual = plan.where("source = 'actual'").select("key")
+    wrong = plan.where("NOT cost_matches").select("key", F.lit("COST_MISMATCH").alias("code"), F.lit("review").alias("level"), F.lit(None).cast("long").alias("step_id"), F.col("root_cost").cast("string").alias("detail"), F.lit(-1).alias("seq"), F.lit(0).alias("part"))
+    columns = wrong.columns
+    full = steps.where(label(F.col("operation"), F.col("options")).contains("TABLE ACCESS FULL")).select("key", F.lit("TABLE_ACCESS_FULL").alias("code"), F.lit("fact").alias("level"), "step_id", F.col("object_name").alias("detail"), "seq", F.lit(0).alias("part"))
     function = F.upper(F.regexp_extract("p", FILTER_FUNCTIONS, 1))
-    filters = steps.select("key", "step_id", F.explode("filter").alias("p")).withColumn("detail", function).where("detail <> ''").select("key", F.lit("FUNCTION_FILTER_PREDICATE").alias("code"), "step_id", "detail")
+    filters = steps.select("key", "step_id", "seq", F.posexplode("filter").alias("at", "p")).withColumn("detail", function).where("detail <> ''")
+    filters = filters.select("key", F.lit("FUNCTION_FILTER_PREDICATE").alias("code"), F.lit("opportunity").alias("level"), "step_id", "detail", "seq", (F.col("at") + 1).alias("part"))
     ratio = cardinality_ratio(F.col("estimated_rows"), F.col("actual_rows"), F.col("starts"))
-    gaps = steps.where("estimated_rows IS NOT NULL AND actual_rows IS NOT NULL").withColumn("r", ratio).where("r >= 10").select("key", F.lit("CARDINALITY_GAP").alias("code"), "step_id", F.when(F.col("r") == float("inf"), "inf").otherwise(F.floor("r").cast("string")).alias("detail"))
-    wrong = plan.where("NOT cost_matches").select("key", F.lit("COST_MISMATCH").alias("code"), F.lit(None).cast("long").alias("step_id"), F.col("root_cost").cast("string").alias("detail"))
-    return full.unionByName(filters).unionByName(gaps).unionByName(wrong)
+    gaps = steps.where("estimated_rows IS NOT NULL AND actual_rows IS NOT NULL").join(actual, "key", "left_semi").withColumn("r", ratio).where("r >= 10")
+    gaps = gaps.select("key", F.lit("CARDINALITY_GAP").alias("code"), F.lit("review").alias("level"), "step_id", F.when(F.col("r") == float("inf"), "inf").otherwise(F.floor("r").cast("string")).alias("detail"), "seq", F.lit(1 << 20).alias("part"))
+    out = wrong.unionByName(full).unionByName(filters).unionByName(gaps)
+    if substr_keys is not None:
+        out = out.unionByName(rewrite_matches(steps, substr_keys).select("key", "code", F.lit("opportunity").alias("level"), "step_id", F.lit("SUBSTR").alias("detail"), F.lit(1 << 30).alias("seq"), F.lit(0).alias("part")).select(columns))
+    w = Window.partitionBy("key").orderBy("seq", "part", "code", "detail")  # as many rows as a plan has steps and predicates
+    return out.withColumn("n", F.row_number().over(w)).select("key", "n", "code", "level", "step_id", "detail")
 
 
 def rewrite_matches(steps: DataFrame, substr_keys: DataFrame) -> DataFrame:
@@ -164,9 +178,39 @@ def top_steps(steps: DataFrame, n: int) -> DataFrame:
 def summary(steps: DataFrame, allowed: DataFrame) -> DataFrame:
     """Top 8 steps without literals: fixed operation label, the object only if its plan allows the table, functions of the filters.
 
-    ``allowed``: key and table_name.
+    ``allowed``: key and table_name; names are compared in upper case without their owner.
     """
     functions = F.array_sort(F.array_distinct(F.flatten(F.transform("filter", lambda p: F.transform(F.regexp_extract_all(p, F.lit(SUMMARY_FUNCTIONS), F.lit(1)), F.upper)))))
-    top = top_steps(steps, 8).withColumn("functions", functions)
-    named = top.join(allowed.select("key", F.upper("table_name").alias("object_name"), F.lit(True).alias("ok")).dropDuplicates(), ["key", "object_name"], "left")
-    return named.select("key", "rank", "step_id", operation_kind(F.col("operation"), F.col("options")).alias("operation"), F.when(F.col("ok"), F.col("object_name")).alias("object_name"), "cost", F.array_join("functions", ",").alias("functions"))
+    bare = lambda c: F.substring_index(F.upper(F.trim(c)), ".", -1)
+    top = top_steps(steps, 8).withColumn("functions", functions).withColumn("_object", bare(F.col("object_name")))
+    named = top.join(allowed.select("key", bare(F.col("table_name")).alias("_object"), F.lit(True).alias("ok")).dropDuplicates(), ["key", "_object"], "left")
+    return named.select("key", "rank", "step_id", operation_kind(F.col("operation"), F.col("options")).alias("operation"), F.when(F.col("ok"), F.col("_object")).alias("object_name"), "cost", "estimated_rows", "actual_rows", "starts", F.array_join("functions", ",").alias("functions"))
+
+
+SIGNALS, METRICS_KEPT = 12, 8
+
+
+def contexts(plan: DataFrame, steps: DataFrame, allowed: DataFrame, noted: DataFrame, measured: DataFrame) -> DataFrame:
+    """One row a recognised plan: header, top 8 steps, the first 12 observations and 8 metrics; no literal, predicate or other object."""
+    top = summary(steps, allowed).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", "step_id", "operation", "object_name", "cost", "estimated_rows", "actual_rows", "starts", "functions"))).alias("priority_steps"))
+    signals = noted.where(F.col("n") <= SIGNALS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "code", "level", "step_id"))).alias("signals"))
+    order = F.create_map(*[F.lit(x) for i, m in enumerate(METRICS.values()) for x in (m, i)])
+    kept = measured.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct(order[F.col("metric")].alias("at"), "metric", "value"))), 1, METRICS_KEPT).alias("runtime_metrics"))  # eleven at most
+    out = plan.where("recognized").select("key", "source", F.col("root_cost").alias("plan_cost"), F.col("cost_matches").alias("cost_matches_input"), F.col("n_steps").alias("step_count"), (F.col("source") == "actual").alias("has_runtime_stats"))
+    for part in (top, signals, kept):
+        out = out.join(part, "key", "left")
+    return out
+
+
+# What a step is called on screen, tested in this order.
+FRIENDLY = (
+    ("TABLE ACCESS FULL", "whole_table_read"), ("INDEX", "index_read"), ("SORT ORDER BY", "sort"), ("HASH UNIQUE", "deduplicate"), ("SORT UNIQUE", "deduplicate"), ("GROUP BY", "aggregate"),
+    ("HASH JOIN", "join"), ("MERGE JOIN", "join"), ("NESTED LOOPS", "join"), ("FILTER", "filter"), ("VIEW", "intermediate_result"),
+)
+
+
+def friendly(operation: Column, options: Column) -> Column:
+    text, out = label(operation, options), F.lit("step")
+    for word, name in reversed(FRIENDLY):
+        out = F.when(text.contains(word), name).otherwise(out)
+    return out

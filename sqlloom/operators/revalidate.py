@@ -43,7 +43,7 @@ def reason(original: str | None, suggested: str | None) -> str | None:
 
     In this order: missing, identical, more than one statement, unreadable, type, tables, hint,
     ROWNUM, structure flags, each part of the signature, WHERE present on both sides, skeleton,
-    more findings than before, predicates.
+    no restriction at all, more findings than before, predicates.
     """
     if not original or not suggested or not original.strip() or not suggested.strip():
         return "missing"
@@ -73,6 +73,8 @@ def reason(original: str | None, suggested: str | None) -> str | None:
         return "where"
     if a["skeleton"] != b["skeleton"]:
         return "skeleton"
+    if b["where_applicable"] and not b["has_where"] and b["restriction_kind"] is None:
+        return "blocks"
     if _notices(b) > _notices(a):
         return "more_findings"
     try:

@@ -51,25 +51,28 @@ def where_verdict() -> Column:
 
 
 def findings(statements: DataFrame, requests_: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``submission_id, rule_id, status, fact, statement_index, table_name``; index -1 is the whole request.
+    """``submission_id, rule_id, status, fact, statement_index, table_name, message, evidence``; index -1 is the whole request.
 
-    A WHERE that couldn't be judged is reviewed without a finding; OR gives one finding a statement
+    ``message`` is that of the watched table, ``evidence`` the fact with the number of its
+    statement where there are several (R11). A WHERE that couldn't be judged is reviewed without a finding; OR gives one finding a statement
     whatever the count, LIKE and functions one for each hit.
     """
     s = statements.withColumn("where_verdict", where_verdict())
 
-    def rule(name: str, status: str | Column, fact: Column, table: Column | None = None):
+    none = F.lit(None).cast("string")
+
+    def rule(name: str, status: str | Column, fact: Column, table: Column = none, message: Column = none):
         state = F.lit(status) if isinstance(status, str) else status
-        return F.struct(F.lit(name).alias("rule_id"), state.alias("status"), fact.cast("string").alias("fact"), (table if table is not None else F.lit(None)).cast("string").alias("table_name"))
+        return F.struct(F.lit(name).alias("rule_id"), state.alias("status"), fact.cast("string").alias("fact"), table.alias("table_name"), message.alias("message"))
 
-    empty = F.array().cast("array<struct<rule_id:string,status:string,fact:string,table_name:string>>")
+    empty = F.array().cast("array<struct<rule_id:string,status:string,fact:string,table_name:string,message:string>>")
     parts = [
         F.when((F.col("where_verdict") == "block") | ((F.col("where_verdict") == "review") & F.col("has_where").isNotNull()), F.array(rule("R002", F.upper("where_verdict"), F.coalesce("restriction_kind", F.lit("no_where"))))).otherwise(empty),
         F.when(F.col("hint").isNotNull(), F.array(rule("R003", "BLOCK", F.col("hint")))).otherwise(empty),
         F.transform("like_hits", lambda x: rule("R004", "NOTICE", x)),
         F.transform("function_hits", lambda x: rule("R005", "NOTICE", x)),
         F.when(F.col("or_count") > 0, F.array(rule("R006", "NOTICE", F.col("or_count")))).otherwise(empty),
-        F.transform(_watch(F.col("tables"), settings.watched), lambda x: rule("R007", "NOTICE", x["message"], x["table"])),
+        F.transform(_watch(F.col("tables"), settings.watched), lambda x: rule("R007", "NOTICE", x["table"], x["table"], x["message"])),
     ]
     if "R008" not in settings.disabled and settings.forbidden:
         for pattern, types in settings.forbidden:
@@ -77,18 +80,35 @@ def findings(statements: DataFrame, requests_: DataFrame, settings: Settings = S
             hits = F.filter("tables", lambda t: t.rlike(regex))  # noqa: B023 - used at once
             allowed = F.col("statement_type").isin(*types) if types else F.lit(True)
             parts.append(F.when(allowed, F.transform(hits, lambda t: rule("R008", "BLOCK", t, t))).otherwise(empty))
-    whole = s.select("submission_id", F.explode(F.concat(*parts)).alias("f"), F.col("idx").alias("statement_index")).select("submission_id", "f.rule_id", "f.status", "f.fact", "statement_index", "f.table_name")
+    number = F.when(F.col("n_statements") > 1, F.concat(F.lit("statement "), F.col("idx") + 1, F.lit(": "))).otherwise("")
+    whole = s.select("submission_id", F.explode(F.concat(*parts)).alias("f"), F.col("idx").alias("statement_index"), number.alias("_n"))
+    whole = whole.select("submission_id", "f.rule_id", "f.status", "f.fact", "statement_index", "f.table_name", "f.message", F.concat("_n", "f.fact").alias("evidence"))
     over = requests_.where(F.col("cost") >= settings.cost_threshold)
     relation = F.when(F.col("cost") == settings.cost_threshold, "equal").otherwise("above")
-    costs = over.select("submission_id", F.lit("R001").alias("rule_id"), F.lit("BLOCK").alias("status"), relation.alias("fact"), F.lit(-1).alias("statement_index"), F.lit(None).cast("string").alias("table_name"))
+    costs = over.select("submission_id", F.lit("R001").alias("rule_id"), F.lit("BLOCK").alias("status"), relation.alias("fact"), F.lit(-1).alias("statement_index"), none.alias("table_name"), none.alias("message"), relation.alias("evidence"))
     found = whole.unionByName(costs)
     return found.where(~F.col("rule_id").isin(*settings.disabled)) if settings.disabled else found
 
 
 def rule_rows(requests_: DataFrame, statements: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Eight rows a request: status of each rule (NA where disabled or not applicable) and number of findings."""
+    """Eight rows a request: status of each rule (NA where disabled or not applicable), number of findings, evidence and note.
+
+    ``evidence`` joins the facts by statement, each statement with its number where there are
+    several; ``note`` the different messages of watched tables, of which a statement gives that
+    of its last one.
+    """
     rules = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(r[0]).alias("rule_id")) for i, r in enumerate(RULES)))
-    counts = found.groupBy("submission_id", "rule_id").agg(F.count("*").alias("n_findings"), F.max(F.col("status") == "BLOCK").alias("block"), F.max(F.col("status") == "REVIEW").alias("review"))
+    # Facts of one statement first, then statements: a request has as many as its text holds.
+    each = found.groupBy("submission_id", "rule_id", "statement_index").agg(
+        F.count("*").alias("n"), F.max(F.col("status") == "BLOCK").alias("block"), F.max(F.col("status") == "REVIEW").alias("review"), F.array_join(F.array_sort(F.collect_list("fact")), ", ").alias("facts"),
+        F.max(F.substring_index("evidence", ": ", 1)).alias("_number"), F.max(F.col("evidence") != F.col("fact")).alias("_many"), F.max_by("message", "table_name").alias("message"),
+    )
+    text = F.when(F.col("_many"), F.concat(F.col("_number"), F.lit(": "), F.col("facts"))).otherwise(F.col("facts"))
+    joined = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("statement_index", c.alias("t"))))), lambda x: x["t"])
+    counts = each.groupBy("submission_id", "rule_id").agg(
+        F.sum("n").alias("n_findings"), F.max("block").alias("block"), F.max("review").alias("review"),
+        F.array_join(joined(text), "; ").alias("evidence"), F.array_join(F.array_distinct(joined(F.col("message"))), "; ").alias("note"),
+    )
     where = statements.select("submission_id", where_verdict().alias("v")).groupBy("submission_id").agg(F.max(F.col("v") == "review").alias("unclear"), F.max(F.col("v") != "na").alias("applicable"))
     base = requests_.select("submission_id").join(where, "submission_id", "left").select("*", F.inline(rules))  # eight rows each
     status = (
@@ -99,7 +119,7 @@ def rule_rows(requests_: DataFrame, statements: DataFrame, found: DataFrame, set
         .when(F.col("n_findings").isNotNull(), "NOTICE")
         .otherwise("PASS")
     )
-    return base.join(counts, ["submission_id", "rule_id"], "left").select("submission_id", "pos", "rule_id", status.alias("status"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+    return base.join(counts, ["submission_id", "rule_id"], "left").select("submission_id", "pos", "rule_id", status.alias("status"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("note", F.lit("")).alias("note"))
 
 
 def compliance(rows: DataFrame) -> DataFrame:

@@ -41,11 +41,12 @@ def structure(settings: Settings = Settings()) -> Column:
 
 
 def scores(requests_: DataFrame, statements: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``submission_id, base_index, rule_score, structure_score, cost_score, score, level``.
+    """``submission_id, base_index, rule_score, structure_score, cost_score, score, level, breakdown``.
 
     The base is the statement with the largest rule and structure weight, the earliest among
     equals; weights of the whole request add to every statement, and stand alone as a virtual
-    last row. Half points round to even.
+    last row. Half points round to even. ``breakdown`` holds the three components, rounded to one
+    decimal, and a row for each floor that raised the score.
     """
     weights = rule_weights(found, settings)
     whole = weights.where("statement_index = -1").select("submission_id", F.least("weight", F.lit(settings.rule_cap)).alias("g"))
@@ -61,8 +62,12 @@ def scores(requests_: DataFrame, statements: DataFrame, found: DataFrame, settin
     joined = requests_.select("submission_id", "cost").join(best, "submission_id").join(blocks, "submission_id", "left")
     band = cost_band(F.col("cost"), settings.cost_threshold)
     raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.col("b.f") + F.col("b.s") + F.col("c"), 0)))
-    floor = F.greatest(F.when(F.col("cartesian"), settings.cartesian_floor).otherwise(0.0), F.when(F.col("blocked"), settings.block_floor).otherwise(0.0))
-    out = joined.withColumn("c", band).withColumn("score", F.greatest(raw, floor).cast("int"))
+    structural = F.when(F.col("cartesian") & (F.col("raw") < settings.cartesian_floor), settings.cartesian_floor)
+    blocking = F.when(F.col("blocked") & (F.coalesce(structural, F.col("raw")) < settings.block_floor), settings.block_floor)
+    out = joined.withColumn("c", band).withColumn("raw", raw).withColumn("score", F.coalesce(blocking, structural, F.col("raw")).cast("int"))
+    part = lambda name, c: F.struct(F.lit(name).alias("component"), F.bround(c, 1).alias("score"))
+    floors = F.filter(F.array(part("structure_floor", structural), part("block_floor", blocking)), lambda x: x["score"].isNotNull())
+    breakdown = F.concat(F.array(part("rule_findings", F.col("b.f")), part("structure", F.col("b.s")), part("cost_ratio", F.col("c"))), floors)
     level = F.when(F.col("score") >= 80, "PRIORITY").when(F.col("score") >= 60, "IMPROVE").otherwise("GOOD")
     index = F.when(F.col("b.idx") == 1 << 30, -1).otherwise(F.col("b.idx"))
-    return out.select("submission_id", index.cast("int").alias("base_index"), F.col("b.f").alias("rule_score"), F.col("b.s").alias("structure_score"), F.col("c").alias("cost_score"), "score", level.alias("level"))
+    return out.select("submission_id", index.cast("int").alias("base_index"), F.col("b.f").alias("rule_score"), F.col("b.s").alias("structure_score"), F.col("c").alias("cost_score"), "score", level.alias("level"), breakdown.alias("breakdown"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sqlloom.sources.tables import by_key
+from sqlloom.sources.once import once
 from sqlloom.sqlast import rewrites
 from sqlloom.sqlast.facts import facts
 from sqlloom.sqlast.split import segments
@@ -40,7 +40,9 @@ def analyse(sql: str) -> list[dict]:
 
 
 def statements(df: DataFrame, key: str = "submission_id", text: str = "sql") -> DataFrame:
-    """One row for each statement of each submission; a key counts once.
+    """One row for each statement of each submission; a key counts once, with the least of its texts.
+
+    Only keys that may be delivered twice are shuffled; the others are parsed where they are read.
 
     Null, blank and comment-only texts give no rows. A statement that can't be parsed has
     ``parse_status`` failed, facts unknown and table names guessed from its text. A bad row never
@@ -62,4 +64,4 @@ def statements(df: DataFrame, key: str = "submission_id", text: str = "sql") ->
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows[s : s + 5000]], schema=schema)
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t RLIKE '\\\\S'")
-    return by_key(rows, "k").mapInArrow(run, SCHEMA)
+    return once(rows, "k").mapInArrow(run, SCHEMA)

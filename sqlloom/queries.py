@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlloom import corpus
-from sqlloom.config import PATTERNS
+from sqlloom.config import GUIDANCE, PATTERNS
 from sqlloom.functions import text as T
 from sqlloom.operators import detect, diff, guards, masking, patterns, plan_analysis, plan_rows, revalidate, rules, score, statements
 from sqlloom.sources import archive
@@ -78,6 +79,14 @@ def a_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(corpus.expected_flags())
+def a_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags (A12-A14) of statements that tell top level from nested and queries from changes, and the structure score."""
+    rows = corpus.submissions(table(spark, folder, "orders"), corpus.FLAG_TEMPLATES)
+    s = statements.statements(spread(rows.select("submission_id", "sql")))
+    return s.select("submission_id", F.array_join(F.array_sort("flags"), ",").alias("flags"), score.structure().alias("structure_score"))
+
+
 @query(_E + """, w AS (SELECT submission_id, CAST(unnest(string_split(tables, ',')) AS VARCHAR) AS tb FROM e WHERE ok)
 SELECT submission_id, 'R001' AS rule_id, 'BLOCK' AS status, CAST(1 AS BIGINT) AS n FROM e WHERE cost >= 100000
 UNION ALL SELECT submission_id, 'R002', upper(v), 1 FROM (SELECT submission_id, has_where, """ + _WHERE + """ AS v FROM e) WHERE v = 'block' OR v = 'review' AND has_where IS NOT NULL
@@ -125,11 +134,14 @@ def w_rewrites(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("submission_id", F.explode("rewrites").alias("r")).select("submission_id", "r.rule", "r.after").dropDuplicates()
 
 
-@query(_E + """, w AS (SELECT submission_id, CAST(unnest(string_split(tables, ',')) AS VARCHAR) AS tb FROM e WHERE ok),
+_SIGNALS = """, w AS (SELECT submission_id, CAST(unnest(string_split(tables, ',')) AS VARCHAR) AS tb FROM e WHERE ok),
 s AS (SELECT submission_id, CAST(unnest(string_split(flags, ',')) AS VARCHAR) AS signal FROM e WHERE flags <> ''
 UNION SELECT submission_id, any_rewrite FROM e WHERE any_rewrite <> '' UNION SELECT submission_id, 'many_tables' FROM e WHERE ok AND nt >= 4 UNION SELECT submission_id, 'R004' FROM e WHERE likes > 0
 UNION SELECT submission_id, 'R005' FROM e WHERE nf > 0 UNION SELECT submission_id, 'R006' FROM e WHERE ors > 0 UNION SELECT submission_id, 'R007' FROM w WHERE tb = 'PERMIT_HDR' OR tb LIKE 'LEVY\\_%' ESCAPE '\\'),
-c(pattern_id, how, signal) AS (VALUES """ + ", ".join(f"('{p[0]}', '{how}', '{x}')" for p in PATTERNS for how, xs in (("exact", p[3]), ("family", p[4])) for x in xs) + """),
+c(pattern_id, how, signal) AS (VALUES """ + ", ".join(f"('{p[0]}', '{how}', '{x}')" for p in PATTERNS for how, xs in (("exact", p[3]), ("family", p[4])) for x in xs) + ")"
+
+
+@query(_E + _SIGNALS + """,
 h AS (SELECT DISTINCT submission_id, pattern_id, how FROM s JOIN c USING (signal))
 SELECT submission_id, pattern_id, how AS match_kind FROM h WHERE how = 'exact' OR NOT EXISTS (SELECT 1 FROM h x WHERE x.submission_id = h.submission_id AND x.pattern_id = h.pattern_id AND x.how = 'exact')""")
 def k_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,18 +150,28 @@ def k_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return patterns.matches(s, f).select("submission_id", "pattern_id", "match_kind")
 
 
-@query()
+@query(_E + _SIGNALS + """, r(pattern_id, evidence_id) AS (VALUES """ + ", ".join(f"('{p[0]}', '{e}')" for p in PATTERNS for e in p[5]) + """)
+SELECT submission_id, evidence_id, pattern_id, '0' AS statement_indexes, 'default' AS variant FROM (SELECT DISTINCT submission_id, pattern_id FROM s JOIN c USING (signal) WHERE how = 'exact' AND pattern_id <> 'OR_SAME_COLUMN_TO_IN') JOIN r USING (pattern_id)
+UNION ALL SELECT submission_id, 'ORACLE11G_LEADING_WILDCARD_RANGE_LIMIT', 'SUBSTR_EQ_TO_LIKE', '0', 'leading_wildcard' FROM e WHERE any_rewrite = 'substr_eq_to_like'""")
 def k_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of exact matches (K4)."""
     _, s, f = _corpus(spark, folder)
-    return patterns.evidence(patterns.matches(s, f))
+    return patterns.evidence(patterns.matches(s, f), s).withColumn("statement_indexes", F.array_join("statement_indexes", ","))
 
 
-@query()
+def _item(p: tuple) -> int:
+    """Characters of a pattern's compact JSON in a context."""
+    return len(json.dumps({"pattern_id": p[0], "classification": p[1], "name": p[0].lower().replace("_", " "), "guidance": GUIDANCE[p[0]]}, separators=(",", ":")))
+
+
+@query(_E + _SIGNALS + """, d(pattern_id, rank, pos, chars) AS (VALUES """ + ", ".join(f"('{p[0]}', {patterns.CLASS_ORDER[p[1]]}, {i}, {_item(p)})" for i, p in enumerate(PATTERNS) if p[0] in GUIDANCE) + """),
+h AS (SELECT DISTINCT submission_id, pattern_id FROM s JOIN c USING (signal) WHERE how = 'exact' AND signal NOT IN ('R001')),
+o AS (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY rank, pos) AS n FROM h JOIN d USING (pattern_id))
+SELECT submission_id, CAST(0 AS INTEGER) AS statement_index, string_agg(pattern_id, ',' ORDER BY n) AS patterns, CAST(sum(chars) AS INTEGER) AS chars FROM o WHERE n <= 4 GROUP BY submission_id""")
 def k5_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Patterns that fit a context (K5)."""
     _, s, f = _corpus(spark, folder)
-    return patterns.packed(patterns.matches(s, f)).select("submission_id", F.array_join("patterns", ",").alias("patterns"), "chars")
+    return patterns.packed(patterns.matches(s, f)).select("submission_id", "statement_index", F.array_join("patterns", ",").alias("patterns"), "chars")
 
 
 @query(_E + """SELECT submission_id, CASE WHEN kind <> 'SELECT' THEN 'not_select' WHEN NOT ok THEN 'parse_failed' WHEN contains(flags, 'connect_by') THEN 'complexity:connect_by' WHEN contains(flags, 'correlated_subquery') THEN 'complexity:correlated_subquery'
@@ -252,7 +274,10 @@ def m1_masked(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("submission_id", "masked_sql", F.size("reverse_map").alias("n_placeholders"))
 
 
-@query()
+@query("""WITH r AS (SELECT submission_id, any_value(application_no) AS a, any_value(sql) AS q, any_value(cost_raw) AS c, any_value(plan_text) AS p FROM submissions GROUP BY submission_id),
+e AS (SELECT CASE WHEN a IS NULL OR trim(a) = '' OR length(trim(a)) > 50 THEN 'bad_application_no' WHEN q IS NULL OR NOT regexp_matches(q, '\\S') THEN 'empty_sql'
+WHEN NOT coalesce(regexp_full_match(regexp_replace(c, '[, ]', '', 'g'), '[0-9]+') AND try_cast(regexp_replace(c, '[, ]', '', 'g') AS BIGINT) IS NOT NULL, false) THEN 'bad_cost' WHEN length(p) > 300000 THEN 'plan_too_long' END AS error_code FROM r)
+SELECT error_code, count(*) AS n FROM e WHERE error_code IS NOT NULL GROUP BY error_code""")
 def n_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """Submissions that are no valid request, by reason."""
     return rules.requests(_submissions(spark, folder)).where("error_code IS NOT NULL").groupBy("error_code").agg(F.count("*").alias("n"))
@@ -326,19 +351,7 @@ def _line_plans(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("plan_id", F.concat(F.lit(head), F.array_join(F.transform("ls", lambda x: x["t"]), "\n"), F.lit(f"\n{rule}\n")).alias("plan_text"))
 
 
-# --- replies ---------------------------------------------------------------------------------
-
-
-@query()
-def g7_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Replies judged."""
-    return guards.replies(table(spark, folder, "model_replies"))
-
-
-@query()
-def g8_advice(spark: SparkSession, folder: str) -> DataFrame:
-    """Advice items with replaced vocabulary and forbidden phrases."""
-    return guards.advice(table(spark, folder, "model_replies"))
+# --- differences, rewrites, workload ------------------------------------------------------------
 
 
 @query("""SELECT DISTINCT submission_id, CAST(len(string_split(sql, chr(10))) AS INTEGER) AS n_lines FROM submissions WHERE sql IS NOT NULL""")
@@ -392,3 +405,6 @@ def w8_all_judged(spark: SparkSession, folder: str) -> DataFrame:
     own = revalidate.own_rewrites(spread(rows), "submission_id", "sql").withColumn("alteration", F.lit("own"))
     pairs = spread(changed).unionByName(own).withColumn("pair", F.struct("submission_id", "alteration"))
     return revalidate.revalidated(pairs, "pair", "sql", "suggested").select("pair.submission_id", "pair.alteration", "reason")
+
+
+from sqlloom import queries_more  # noqa: E402, F401 - registers its queries

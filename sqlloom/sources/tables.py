@@ -21,13 +21,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     n = 2 * cores
     return df.repartition(n, *map(F.col, keys)) if keys else df.repartition(n)
-
-
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, in a number of partitions that steps with much computing keep busy.
-
-    The number is fixed, so that adaptive execution doesn't join partitions of few bytes.
-    """
-    spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key).dropDuplicates([key])

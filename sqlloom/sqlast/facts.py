@@ -140,43 +140,49 @@ def _correlated(q: Node, outside: set[str]) -> bool:
     return False
 
 
+def _table_names(n: Node) -> set[str]:
+    """What columns may name the tables of a tree by: the alias, else the name."""
+    return {x.alias or x.name for x in n.walk() if x.kind == "table"}
+
+
 def _flags(n: Node) -> set[str]:
+    """Set operations anywhere; everything else of the top-level branches of queries, with all that is nested in them."""
+    everything = list(n.walk())
     out: set[str] = set()
-    selects = [x for x in n.walk() if x.kind == "select"]
-    every_alias: set[str] = set()
-    for s in selects:
-        every_alias |= _aliases(s)
-    for x in n.walk():
+    for x in everything:
         if x.kind == "setop":
-            out.add("set_operation")
-            if not x.all:
-                out.add("distinct_or_union")
-        elif x.kind == "func":
-            if x.get("over") is not None:
-                out.add("window_function")
-        elif x.kind == "col":
-            if x.get("outer"):
-                out.add("outer_join")
-            if x.name == "ROWNUM":
-                out.add("rownum")
-        elif x.kind == "in" and x.neg and x.query is not None or x.kind == "not" and x.arg.kind == "in" and x.arg.query is not None:
-            out.add("not_in_subquery")
-        if x.kind in ("exists", "scalar", "in", "derived") and x.get("query") is not None and x.query.kind in QUERY and x.kind != "derived" and _correlated(x.query, every_alias):
-            out.add("correlated_subquery")
-    for s in selects:
+            out |= {"set_operation"} if x.all else {"set_operation", "distinct_or_union"}
+    if n.kind not in QUERY:
+        return out
+    names = _table_names(n)
+    for s in branches(n):
         if s.distinct:
-            out |= {"distinct", "distinct_or_union"}
-        if any(e.kind == "star" for e, _ in s.items):
+            out.add("distinct")
+        if any(e.kind == "star" and not e.table for e, _ in s.items):
             out.add("select_star")
-        if s.group or any(f.kind == "func" and f.name in AGGREGATES and f.get("over") is None for e, _ in s.items for f in e.walk(QUERY)):
+        if s.group or any(f.kind == "func" and f.name in AGGREGATES for e, _ in s.items for f in e.walk()):
             out.add("group_by_aggregate")
         if s.connect is not None:
             out.add("connect_by")
         for j in s.joins:
             if j.how in ("LEFT", "RIGHT", "FULL"):
                 out.add("outer_join")
-            if j.on is None and not j.using and j.how not in ("CROSS", "NATURAL"):
+            if j.on is None and not j.using and j.how != "CROSS":
                 out.add("cartesian_join")
+        for x in everything if s is n else s.walk():
+            if x.kind == "func" and x.get("over") is not None:
+                out.add("window_function")
+            elif x.kind == "col":
+                if x.get("outer"):
+                    out.add("outer_join")
+                if x.name == "ROWNUM":
+                    out.add("rownum")
+            elif x.kind == "in" and x.neg and x.query is not None or x.kind == "not" and x.arg.kind == "in" and x.arg.query is not None:
+                out.add("not_in_subquery")
+            elif x.kind == "select" and x is not s and x.where is not None and "correlated_subquery" not in out:
+                own = _table_names(x)
+                if any(c.table and c.table not in own and c.table in names for c in _columns(x.where)):
+                    out.add("correlated_subquery")
     return out
 
 

@@ -8,6 +8,8 @@ loop into n-ary nodes, so that very long chains need no recursion. What it can't
 
 from __future__ import annotations
 
+import sys
+
 from sqlloom.sqlast.lexer import Token, tokens
 from sqlloom.sqlast.nodes import Node
 
@@ -20,7 +22,7 @@ _SET = {"UNION": "UNION", "MINUS": "EXCEPT", "EXCEPT": "EXCEPT", "INTERSECT": "I
 _CLAUSE = frozenset("FROM WHERE GROUP HAVING ORDER CONNECT START UNION MINUS EXCEPT INTERSECT ON USING LEFT RIGHT FULL INNER CROSS JOIN NATURAL SET VALUES SELECT WHEN THEN ELSE END AND OR NOT IN IS LIKE BETWEEN EXISTS INTO AS FOR FETCH OFFSET RETURNING WITH LOG LIMIT ESCAPE BY ASC DESC".split())
 _COMPARE = frozenset(("=", "<>", "!=", "^=", "<", "<=", ">", ">="))
 _PLAIN = frozenset(("word", "op"))
-_MAX_DEPTH = 150
+_MAX_DEPTH = 3000  # levels of brackets; more than any C frame of a worker could walk
 
 
 class Parser:
@@ -599,6 +601,7 @@ def parse(sql: str) -> Node:
         raise ParseError("open quotation mark")
     if not toks:
         raise ParseError("empty")
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * _MAX_DEPTH))  # for this and for the walks over the tree
     try:
         return Parser(toks).statement()
     except (IndexError, RecursionError) as e:

@@ -9,13 +9,17 @@ from typing import NamedTuple
 from sqlloom.sqlast.lexer import is_open, tokens
 
 # Client commands that begin a line (CONNECT BY is a clause and stays).
-CLIENT_COMMANDS = ("ACCEPT", "BREAK", "BTITLE", "CLEAR", "COLUMN", "COMPUTE", "CONNECT", "DEFINE", "DISCONNECT", "EXIT", "HOST", "PAUSE", "PROMPT", "QUIT", "REM", "REMARK", "SHOW", "SPOOL", "START", "TTITLE", "UNDEFINE", "VARIABLE", "WHENEVER")
-_COMMAND = re.compile(r"^\s*(?:(?:" + "|".join(CLIENT_COMMANDS) + r")\b(?!\s+(?:BY|WITH)\b)|@@?\S)", re.I)
+CLIENT_COMMANDS = ("SPOOL", "PROMPT", "DEFINE", "UNDEFINE", "WHENEVER", "EXIT", "QUIT", "CONNECT", "DISCONNECT", "COLUMN", "TTITLE", "BTITLE", "CLEAR", "PAUSE", "SHOW", "DESCRIBE", "ACCEPT", "HOST", "REM", "REMARK")
+_COMMAND = re.compile(r"^\s*(?:(?:" + "|".join(CLIENT_COMMANDS) + r")\b(?!(?<=CONNECT)\s+BY\b)|@@?\S)", re.I)
 _SET_COMMAND = re.compile(r"^\s*SET\s+\w+(?:\s+[^=]*)?$", re.I)
 _UPDATE_BEFORE = re.compile(r"\bUPDATE\s+\S+(?:\s+\w+)?\s*$|\bTHEN\s+UPDATE\s*$", re.I)
 _BLOCK = re.compile(r"^\s*(?:DECLARE\b|BEGIN\b|CREATE\s+(?:OR\s+REPLACE\s+)?(?:EDITIONABLE\s+|NONEDITIONABLE\s+)?(?:PROCEDURE|FUNCTION|PACKAGE|TRIGGER|TYPE\s+BODY)\b)", re.I)
-_ZERO_WIDTH = {0x200B: None, 0x200C: None, 0x200D: None, 0x2060: None, 0xFEFF: None, 0x00AD: None, 0x180E: None}
-_MARKS = {0x2018: "'", 0x2019: "'", 0x201A: "'", 0x201B: "'", 0x2032: "'", 0x201C: '"', 0x201D: '"', 0x201E: '"', 0x2033: '"', 0x3002: ".", 0x3001: ",", 0x00A0: " ", 0x2007: " ", 0x202F: " ", 0x3000: " "}
+# Signs deleted, and signs replaced after NFKC.
+_ZERO_WIDTH = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF))
+_MARKS = str.maketrans({
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'", "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"', "\u2032": "'", "\u2033": '"',
+    "。": ".", "『": "'", "』": "'", "「": '"', "」": '"', "\u00a0": " ", "\u2007": " ", "\u202f": " ",
+})
 
 
 def normalize(text: str) -> str:

@@ -55,7 +55,7 @@ def test_every_alteration_of_every_template_is_judged_as_expected(spark):
     got |= {f"own {i}": revalidate.reason(s, revalidate.rewritten(s)) for h, i, s in rows if h == "same"}
     assert got == {f"{h} {i}": next((r for r, at in other.items() if i in at), usual) for h, (usual, other) in corpus.REASONS.items() for i in range(corpus.N)}
     first = {None if r is None else r.split(":")[0] for r in got.values()}
-    assert first == {None, "missing", "identical", "not_one_statement", "unreadable", "type", "tables", "hint", "rownum", "structure", "signature", "where", "skeleton", "more_findings", "predicate_lost", "predicate_changed", "predicate_added"}
+    assert first == {None, "missing", "identical", "not_one_statement", "unreadable", "type", "tables", "hint", "rownum", "structure", "signature", "where", "skeleton", "blocks", "more_findings", "predicate_lost", "predicate_changed", "predicate_added"}
 
 
 def test_conditions_of_inline_views_are_compared():

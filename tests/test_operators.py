@@ -68,8 +68,10 @@ def test_patterns_and_packing(spark):
     m = patterns.matches(s, f)
     kinds = {r.pattern_id: r.match_kind for r in m.collect()}
     assert kinds["OR_SAME_COLUMN_TO_IN"] == "exact" and kinds["OR_CROSS_COLUMN_TO_UNION_ALL"] == "family" and kinds["DISTINCT_REMOVAL"] == "exact"
-    sizes = {"OR_SAME_COLUMN_TO_IN": 5000, "DISTINCT_REMOVAL": 10, "SELECT_STAR": 10}
-    assert patterns.packed(m, sizes).first().patterns == ["DISTINCT_REMOVAL", "SELECT_STAR"]  # what is too big uses nothing up
+    whole = patterns.packed(m, chars=6000).first()
+    assert whole.patterns == ["OR_SAME_COLUMN_TO_IN", "DISTINCT_REMOVAL", "SELECT_STAR"] and patterns.packed(m, items=1).first().patterns == whole.patterns[:1] and patterns.packed(m, items=0).first().patterns == []
+    less = patterns.packed(m, chars=whole.chars - 1).first()  # one that is too big uses nothing up
+    assert less.patterns == whole.patterns[:2] and patterns.packed(m, chars=0).first().patterns == []
 
 
 def test_empty_tables(spark):
@@ -142,11 +144,13 @@ def test_page_furniture(spark):
 
 
 def test_replies(spark):
-    good = '{"summary": "這段語法的條件清楚，其餘維持現狀即可，不必另外調整寫法。", "assessment_confidence_score": %s, "advice": %s, "suggested_sql": {"rewrite_outcome": "not_needed"}}'
+    good = '{"summary": "這段語法的條件清楚，其餘維持現狀即可，不必另外調整寫法。", "assessment_confidence_score": %s, "advice": %s, "suggested_sql": {"available": false, "reason": "無", "rewrite_outcome": "not_needed"}}'
     rows = [(1, "stop", good % (41, "[]")), (2, "length", good % (41, "[]")), (3, "stop", '{"summary'), (4, "stop", None), (5, "stop", good % ("true", "[]")), (6, "stop", good % ('"41"', "[]")), (7, "stop", good % (101, "[]")), (8, "stop", good % (5, "[1,2,3,4]")), (9, "stop", '{"summary": "short", "assessment_confidence_score": 1, "advice": []}'), (10, "stop", '{"summary": "long enough but in another language", "assessment_confidence_score": 1, "advice": []}')]
+    item = '[{"title": "a", "explanation": "b", "confidence_score": %s}]'
+    rows += [(11, "stop", good % (5, item % 7)), (12, "stop", good % (5, item % '"7"')), (13, "stop", good % (5, item % "7.0")), (14, "stop", good % (5, '{"a": 1}')), (15, "stop", (good % (5, "[]")).replace("not_needed", "done")), (16, "stop", (good % (5, "[]")).replace('"advice": [], ', ""))]
     df = spark.createDataFrame([(*r, None) for r in rows] + [(*rows[0], None)], "submission_id long, finish_reason string, reply_json string, replied_at timestamp")
     got = {r.submission_id: r.failure for r in guards.replies(df).collect()}
-    assert got == {1: None, 2: "truncated", 3: "bad_json", 4: "no_reply", 5: "bad_confidence", 6: "bad_confidence", 7: "bad_confidence", 8: "too_much_advice", 9: "short_summary", 10: "wrong_language"}
+    assert got == {1: None, 2: "truncated", 3: "bad_json", 4: "no_reply", 5: "bad_confidence", 6: "bad_confidence", 7: "bad_confidence", 8: "too_much_advice", 9: "no_suggestion", 10: "wrong_language", 11: None, 12: "bad_advice", 13: "bad_advice", 14: "bad_advice", 15: "bad_outcome", 16: None}
 
 
 def test_advice(spark):
@@ -196,7 +200,7 @@ def test_wide_rows_with_clashing_names(spark):
 @pytest.mark.parametrize(
     "a, b, why",
     [("SELECT x FROM t WHERE a = 1 OR a = 2", "SELECT x FROM t WHERE a IN (1, 2)", None), ("SELECT x FROM t WHERE a = 1", "select x from t where a = 1", "identical"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM u WHERE a = 1", "tables"),
-     ("SELECT x FROM t WHERE a = 1", "SELECT DISTINCT x FROM t WHERE a = 1", "structure:distinct_or_union"), ("SELECT x FROM t WHERE a = 1", "SELECT x, y FROM t WHERE a = 1", "signature:select_count"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t", "where"),
+     ("SELECT x FROM t WHERE a = 1", "SELECT DISTINCT x FROM t WHERE a = 1", "structure:distinct"), ("SELECT x FROM t WHERE a = 1", "SELECT x, y FROM t WHERE a = 1", "signature:select_count"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t", "where"),
      ("SELECT x FROM t WHERE a = 1", "SELECT y FROM t WHERE a = 1", "skeleton"), ("SELECT x FROM t WHERE a = 1 AND b = 2", "SELECT x FROM t WHERE a = 1", "predicate_lost"), ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t WHERE a = 1 AND b = 2", "predicate_added"),
      ("SELECT x FROM t WHERE a = 1", "SELECT x FROM t WHERE", "unreadable"), ("SELECT x FROM t WHERE a = 1", None, "missing"), ("SELECT x FROM t WHERE ROWNUM < 2", "SELECT x FROM t WHERE 2 > ROWNUM", "rownum")],
 )
