@@ -42,10 +42,10 @@ def _replaced(c: str) -> str:
 
 @query(r"""WITH r AS (SELECT DISTINCT submission_id, reply_json FROM model_replies WHERE json_valid(reply_json)), a AS (SELECT submission_id, unnest(json_extract(reply_json, '$.advice[*]')) AS a, generate_subscripts(json_extract(reply_json, '$.advice[*]'), 1) - 1 AS pos FROM r),
 t AS (SELECT submission_id, CAST(pos AS INTEGER) AS pos, """ + _replaced("json_extract_string(a, '$.title')") + " AS title, " + _replaced("json_extract_string(a, '$.explanation')") + r""" AS explanation, json_extract_string(a, '$.confidence_score') AS c FROM a WHERE pos < 3)
-SELECT submission_id, pos, title, explanation, CASE WHEN regexp_full_match(c, '\d{1,2}|100') THEN CAST(c AS INTEGER) END AS confidence, """ + " OR ".join(f"contains(concat_ws(' ', title, explanation), {_quoted(p)})" for p in guards.FORBIDDEN) + " AS dropped FROM t")
+SELECT submission_id, pos, title, explanation, CASE WHEN regexp_full_match(c, '\d{1,2}|100') THEN CAST(c AS INTEGER) ELSE -1 END AS confidence, """ + " OR ".join(f"contains(concat_ws(' ', title, explanation), {_quoted(p)})" for p in guards.FORBIDDEN) + " AS dropped FROM t")
 def g8_advice(spark: SparkSession, folder: str) -> DataFrame:
     """Advice items with replaced vocabulary and forbidden phrases."""
-    return guards.advice(table(spark, folder, "model_replies")).drop("example")
+    return guards.advice(table(spark, folder, "model_replies")).drop("example").na.fill(-1, ["confidence"])
 
 
 def _analysed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -131,14 +131,14 @@ def s_generated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""WITH f AS (SELECT DISTINCT extract_id, filename, sql, lower(regexp_extract(filename, '\.([^./\\]+)$', 1)) AS ext FROM sql_extracts) SELECT extract_id, CASE WHEN ext NOT IN ('sql', 'txt', 'md', 'markdown', 'csv', 'docx', 'pdf') OR ext IS NULL THEN 'bad_extension' WHEN sql IS NULL OR sql = '' THEN 'empty'
-WHEN starts_with(sql, 'MZ') THEN 'program' WHEN ext = 'pdf' THEN 'not_pdf' WHEN ext = 'docx' THEN 'not_docx' END AS error_code, CASE WHEN ext IN ('sql', 'txt', 'md', 'markdown', 'csv') AND sql <> '' THEN length(regexp_replace(sql, '^\x{FEFF}', '')) END AS n_chars, ext IN ('txt', 'csv') AS plan_allowed FROM f""")
+WHEN starts_with(sql, 'MZ') THEN 'program' WHEN ext = 'pdf' THEN 'not_pdf' WHEN ext = 'docx' THEN 'not_docx' END AS error_code, CASE WHEN ext IN ('sql', 'txt', 'md', 'markdown', 'csv') AND sql <> '' THEN length(regexp_replace(sql, '^\x{FEFF}', '')) ELSE -1 END AS n_chars, ext IN ('txt', 'csv') AS plan_allowed FROM f""")
 def s1_attachments(spark: SparkSession, folder: str) -> DataFrame:
     """The extracts' texts as files: checked, decoded and cut (S1, S2, S6, S7); those named like documents hold none."""
     rows = table(spark, folder, "sql_extracts").select("extract_id", "filename", "sql").dropDuplicates(["extract_id"])
     files = rows.select(F.concat_ws("/", F.col("extract_id").cast("string"), F.coalesce("filename", F.lit(""))).alias("path"), F.encode("sql", "utf-8").alias("content"))
     read = attachments.truncated(attachments.texts(spread(files)))
     plan = attachments.extension(F.col("path")).isin(*attachments.PLAN_EXTENSIONS)
-    return read.select(F.substring_index("path", "/", 1).cast("long").alias("extract_id"), "error_code", F.length("text").cast("long").alias("n_chars"), plan.alias("plan_allowed"))
+    return read.select(F.substring_index("path", "/", 1).cast("long").alias("extract_id"), "error_code", F.coalesce(F.length("text"), F.lit(-1)).cast("long").alias("n_chars"), plan.alias("plan_allowed"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS page FROM lineitem)
@@ -202,15 +202,15 @@ def plan_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(_FULL + """, x AS (SELECT k, 'COST_MISMATCH' AS code, 'review' AS level, CAST(NULL AS BIGINT) AS step_id, CAST(expected + 1 AS VARCHAR) AS detail, 0 AS part FROM o SEMI JOIN l USING (k) WHERE k % 5 <> 0
 UNION ALL SELECT k, 'TABLE_ACCESS_FULL', 'fact', id, 'T_' || CAST(supp AS VARCHAR), 1 FROM l WHERE id % 3 = 0 UNION ALL SELECT k, 'FUNCTION_FILTER_PREDICATE', 'opportunity', id, 'TRUNC', 2 FROM l WHERE id % 2 = 0
 UNION ALL SELECT k, 'CARDINALITY_GAP', 'review', id, CASE WHEN id % 4 = 0 THEN 'inf' ELSE CAST(id * 10 AS VARCHAR) END, 3 FROM l WHERE k % 2 = 0 AND id % 2 = 0)
-SELECT k AS plan_id, code, level, step_id, detail FROM x""")
+SELECT k AS plan_id, code, level, coalesce(step_id, -1) AS step_id, detail FROM x""")
 def plan_observed(spark: SparkSession, folder: str) -> DataFrame:
     """Predicates by step and observations (P5, P6, P10) of generated plans; their order is tested elsewhere, for line numbers repeat."""
     r = _full_plans(spark, folder)
-    return plan_analysis.observations(r["steps"], r["plan"]).withColumnRenamed("key", "plan_id").drop("n")
+    return plan_analysis.observations(r["steps"], r["plan"]).withColumnRenamed("key", "plan_id").drop("n").na.fill(-1, ["step_id"])
 
 
 @query(_FULL + """SELECT k AS plan_id, CAST(row_number() OVER (PARTITION BY k ORDER BY cost DESC, id) AS INTEGER) AS rank, id AS step_id, CASE id % 3 WHEN 0 THEN 'TABLE_ACCESS_FULL' WHEN 1 THEN 'INDEX_ACCESS' ELSE 'HASH_JOIN' END AS operation, CASE WHEN supp % 2 = 0 THEN 'T_' || CAST(supp AS VARCHAR) END AS object_name, cost,
-e AS estimated_rows, CASE WHEN k % 2 <> 0 THEN NULL WHEN id % 4 = 0 THEN 0 WHEN id % 2 = 0 THEN e * id * 10 ELSE e END AS actual_rows, CASE WHEN k % 2 = 0 THEN 1 + id % 2 END AS starts, CASE WHEN id % 2 = 0 THEN 'NVL,TRUNC' ELSE '' END AS functions FROM l QUALIFY rank <= 8""")
+e AS estimated_rows, CASE WHEN k % 2 <> 0 THEN -1 WHEN id % 4 = 0 THEN 0 WHEN id % 2 = 0 THEN e * id * 10 ELSE e END AS actual_rows, CASE WHEN k % 2 = 0 THEN 1 + id % 2 ELSE -1 END AS starts, CASE WHEN id % 2 = 0 THEN 'NVL,TRUNC' ELSE '' END AS functions FROM l QUALIFY rank <= 8""")
 def plan_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Top 8 steps with what may be told of them (P11, P12) of generated plans."""
-    return _full_plans(spark, folder)["summary"].withColumnRenamed("key", "plan_id")
+    return _full_plans(spark, folder)["summary"].withColumnRenamed("key", "plan_id").na.fill(-1, ["actual_rows", "starts"])

@@ -74,43 +74,6 @@ def test_orders_get_both_suggestions(spark, tmp_path):
     assert len(got) == 2 * n == len({(r.submission_id, r.alteration) for r in got}) and len({(r.submission_id % corpus.N, r.alteration) for r in got}) == n + corpus.N
 
 
-def test_sound_pieces_are_known_beyond_the_sample(spark):
-    from sqlloom.llm import mojibake
-
-    usual = ["Düne Süd", "Северная гавань", "臨時許可", "修正：原條件漏列港務費", "Λιμένιον"]
-    rare = ["à x", "ñ y", "ø z", "ß w"]  # too few letters for the scores
-    garbled = [mojibake.garble(p, (("utf-8", "latin-1"),)) for p in rare]
-    texts = [*usual * 20, *rare * 3, *garbled]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    counts = mojibake.piece_counts(df.select("t"))
-    model = mojibake.train(mojibake.most_frequent(counts, len(usual)))
-    assert not model.sound & set(rare)
-    sound = {bytes(r.h) for r in mojibake.sound_pieces(counts, model).collect()}
-    assert {p for p in [*usual, *rare, *garbled] if mojibake.hashed(mojibake.normal(p)) in sound} == {*usual, *rare}
-    got = {r.key: r.restored for r in mojibake.garbled_rows(df, "id", "t", model, mojibake.sound_pieces(counts, model)).collect()}
-    assert got == {len(texts) - len(rare) + i: p for i, p in enumerate(rare)}
-    few = mojibake.SAMPLE_PIECES
-    try:  # with nearly all pieces joined, none held in memory
-        mojibake.SAMPLE_PIECES = 1
-        assert {r.key: r.restored for r in mojibake.garbled_rows(df, "id", "t", model, mojibake.sound_pieces(counts, model)).collect()} == got
-    finally:
-        mojibake.SAMPLE_PIECES = few
-
-
-def test_literals_of_every_shape_are_collected():
-    from sqlloom.llm import personal
-
-    def found(t):
-        return [(t[m[0] : m[1]], m[2], m[3]) for m in personal.Collector(frozenset(["jane"]), frozenset(["roe"])).text(t, False)]
-
-    assert found("SELECT a FROM t WHERE tel_no = '0912345678'") == [("0912345678", "number", "tel_no")]
-    assert found("SELECT a FROM t WHERE nm LIKE '%Jane Roe%'") == [("Jane Roe", "name", "nm")]
-    assert found("SELECT a FROM t WHERE m = 'jane[at]example[dot]org'") == [("jane[at]example[dot]org", "mail", "m")]
-    many = ", ".join(f"'X-{i:05d}'" for i in range(200))
-    assert found(f"SELECT a FROM t WHERE tel_no IN ({many}, '415-555-0199') AND f(b, '415-555-0188') = 1") == [("415-555-0199", "number", "tel_no"), ("415-555-0188", "number", "literal")]
-    assert found("SELECT a FROM t WHERE d = '2024-01-31' AND k = 'A-12345678' AND s = '%open%'") == []
-
-
 def test_line_differences_of_altered_statements(spark, tmp_path):
     from sqlloom.operators import diff
 
