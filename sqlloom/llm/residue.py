@@ -88,7 +88,7 @@ def distinct_words(text: str) -> set[str]:
     if odd := [w for w in found if not w.isalpha() or not w.isascii() and _HAN.search(w)]:
         found.difference_update(odd)
         found.update(words(" ".join(odd)))
-    out = {w[:STEM] for w in found}
+    out = {w if w[0] == "#" else w[:STEM] for w in found}
     if "xx" in low:
         out.update(["#xx"] if any(len(w) > 1 and not w.strip("x") for w in found) else ())
     return out
@@ -231,6 +231,13 @@ class Matcher:
             for t in tokens:
                 self.span_posting.setdefault(t, []).append(i)
 
+    def told(self, distinct: set[str]) -> set[str]:
+        """The telling tokens of a document by which it could hold an exemplar: those of exemplars it contains with all its passages together."""
+        found = distinct & self.telling
+        near = {i for t in found for i in self.posting[t]}
+        held = {i for i in near if sum(self.idf[t] for t in distinct & INDEX.messages[i][0]) >= CONTAINED * self.weight[i]}
+        return {t for t in found if not held.isdisjoint(self.posting[t])} if held else set()
+
     def passage(self, text: str) -> str | None:
         """Kind of the best matching exemplar if a passage is residue."""
         return self.match(words(text))
@@ -257,9 +264,8 @@ class Matcher:
                 return kind
         return None
 
-    def windows(self, text: str) -> str | None:
+    def windows(self, tokens: list[str]) -> str | None:
         """The same for windows around the telling tokens of a long passage: a message that runs on into other text."""
-        tokens = words(text)
         at = [i for i, t in enumerate(tokens) if t in self.telling]
         size = 2 * WINDOW_TOKENS
         if len(tokens) <= size or not at:
@@ -326,17 +332,23 @@ class Matcher:
         distinct = distinct_words(rest)
         if len(distinct & INDEX.filler) > 1 and any(self.filler(p) for p in rest.split("\n")):
             found.add("filler")
-        if self.telling.isdisjoint(distinct):
+        told = self.told(distinct)
+        if not told:
             return found, open_names, names
+        # Tokens as they stand in text; those made of several signs are looked for by what they are made of.
+        signs = {"x" if t == "#xx" else t for t in told if t != "#status"}
         seen: set[str] = set()
         joined = re.sub(r"-\n", "", rest)
         whole = re.sub(r"(?<![.!?:;。！？\n])[ \t]*\n[ \t]*(?=[a-zà-ÿ0-9])(?![45]\d\d [A-Z])", " ", joined)  # lines that a scan broke within a sentence
         for part in (whole.split("\n"), re.sub(r"\n(?!\n)", " ", joined).split("\n")):
             for line in part:
+                low = line.lower()
+                if not ("#status" in told and ("4" in low or "5" in low) or any(s in low for s in signs)):
+                    continue
                 for p in (line, *_SENTENCE.split(line)):
                     if p and p not in seen:
                         seen.add(p)
-                        if kind := self.passage(p) or self.windows(p):
+                        if kind := self.match(tokens := words(p)) or self.windows(tokens):
                             found.add(kind)
         return found, open_names, names
 
