@@ -2,14 +2,18 @@
 
 Each Python worker takes the grids of one Arrow batch, groups their rows by layout and
 header into CSV files in its scratch folder and reads every file with DuckDB's CSV reader
-and reject tables. Line-level errors are joined back to the raw records, the remaining rows
-are checked and typed by one SQL statement per file. There is no shuffle: a row depends on
-its own text alone. The scratch folder belongs to a task and goes with it.
+and reject tables, first with typed columns (Id a whole number, Time and A-Time an interval),
+then as text. Errors of both, in columns, quoting and values, are joined back to the raw
+records; the remaining rows are checked and typed by one SQL statement per file, for counts
+and costs, with suffixes, thousands commas and percentages, are of no type the reader has, and
+its types allow a little more (fractions, signs). There is no shuffle: a row depends on its
+own text alone. The scratch folder belongs to a task and goes with it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
@@ -50,7 +54,7 @@ def _checks(layout: str, roles: tuple[str, ...]) -> str:
     for k, r in enumerate(roles):
         c = f"trim(c{k})"
         if r == "id":
-            star = r"(\*\s*)?" if layout == "pipe" else ""
+            star = r"(\*\s*)?" if layout == "pipe" and k else ""  # that of a first cell is off by now
             parts.append(f"WHEN NOT regexp_full_match({c}, '{star}\\d+') THEN 'id_not_whole'")
         elif r in COUNT_ROLES:
             percent = r"(\s*\(\d+(\.\d+)?%?\))?" if r == "cost" else ""
@@ -72,23 +76,36 @@ def _projection(roles: tuple[str, ...]) -> str:
     return f"try_cast(regexp_replace(trim(c{at}), '^\\*\\s*', '') AS BIGINT) AS step_id, " + ", ".join(columns)
 
 
-def _read(con, files: list[str], layout: str, width: int) -> tuple[dict[int, tuple], str]:
-    """Loads the files into table ``loaded``; returns the reject entries by file and line."""
-    columns = ", ".join(["'rid': 'VARCHAR'", *(f"'c{k}': 'VARCHAR'" for k in range(width))])
+def _types(layout: str, roles: tuple[str, ...]) -> list[str]:
+    """The reader's types of the columns whose values are of one."""
+    return ["BIGINT" if r == "id" and (k == 0 or layout != "pipe") else "INTERVAL" if r in TIME_ROLES else "VARCHAR" for k, r in enumerate(roles)]
+
+
+def _read(con, name: str, files: list[str], layout: str, types: list[str]) -> dict[tuple[str, int], tuple[str, int | None]]:
+    """Loads the files into table ``name``; returns the first reject entry (error, column) by file and line."""
+    columns = ", ".join(["'rid': 'VARCHAR'", *(f"'c{k}': '{t}'" for k, t in enumerate(types))])
     delim = {"pipe": "|", "comma": ",", "tab": "\\t"}[layout]
     quoting = "quote='', escape=''" if layout == "pipe" else "quote='\"', escape='\"'"
-    con.execute("DROP TABLE IF EXISTS loaded; DROP TABLE IF EXISTS bad; DROP TABLE IF EXISTS bad_scans")
+    con.execute(f"DROP TABLE IF EXISTS {name}; DROP TABLE IF EXISTS bad; DROP TABLE IF EXISTS bad_scans")
     con.execute(
-        f"CREATE TEMP TABLE loaded AS SELECT * FROM read_csv({files!r}, auto_detect=false, header=false, delim=E'{delim}', {quoting}, strict_mode=true, "
-        f"columns={{{columns}}}, nullstr='\\x02', store_rejects=true, rejects_table='bad', rejects_scan='bad_scans', rejects_limit=0, "
+        f"CREATE TEMP TABLE {name} AS SELECT * FROM read_csv({files!r}, auto_detect=false, header=false, delim=E'{delim}', {quoting}, strict_mode=true, "
+        f"columns={{{columns}}}, nullstr={['', ' '] if name == 'typed' else chr(2)!r}, store_rejects=true, rejects_table='bad', rejects_scan='bad_scans', rejects_limit=0, "
         "max_line_size=33554432, parallel=false, encoding='utf-8')"
     )
-    return {(path, line): kind for path, line, kind in con.execute("SELECT s.file_path, e.line, min(e.error_type::VARCHAR) FROM bad e JOIN bad_scans s USING (scan_id, file_id) GROUP BY ALL").fetchall()}
+    rows = con.execute("SELECT s.file_path, e.line, min((e.error_type::VARCHAR, coalesce(e.column_name, ''))) FROM bad e JOIN bad_scans s USING (scan_id, file_id) GROUP BY ALL").fetchall()
+    return {(path, line): (error[0], int(error[1][1:]) if error[1][:1] == "c" and error[1][1:].isdigit() else None) for path, line, error in rows}
 
 
 _REASONS = {"MISSING COLUMNS": "missing_columns", "TOO MANY COLUMNS": "too_many_columns", "UNQUOTED VALUE": "broken_quoting", "CAST": "bad_value"}
 
 
+_STAR = re.compile(r"^\s*\*\s*")
+
+
+def _value_reason(role: str) -> str:
+    return "id_not_whole" if role == "id" else f"bad_time:{role}"
+
+
 def _group(con, folder: str, layout: str, roles: tuple[str, ...], records: list[tuple[int, int, int, str]]) -> list[tuple]:
     """records: (key, line_no, seq, raw) that share layout and header."""
     main, alone, out, preset = [], [], [], {}
@@ -101,6 +118,8 @@ def _group(con, folder: str, layout: str, roles: tuple[str, ...], records: list[
                 preset[rid] = "missing_columns"
                 continue
             line = line[1:-1]
+            if roles[0] == "id":
+                line = _STAR.sub("", line)
         # A mark left open would run on into the next record: such a record gets its own file.
         (alone if layout != "pipe" and line.count('"') % 2 else main).append((rid, f"{rid}{delim}{line}"))
     at: dict[tuple[str, int], int] = {}
@@ -113,9 +132,13 @@ def _group(con, folder: str, layout: str, roles: tuple[str, ...], records: list[
                 f.write(line + "\n")
     reasons = dict(preset)
     if files:
-        for where, kind in _read(con, files, layout, len(roles)).items():
+        text = ["VARCHAR"] * len(roles)
+        shape = _read(con, "loaded", files, layout, text)
+        values = _read(con, "typed", files, layout, types) if (types := _types(layout, roles)) != text else {}
+        for where, (error, column) in (*shape.items(), *values.items()):
             if where in at:
-                reasons.setdefault(at[where], _REASONS.get(kind, "bad_value"))
+                cast = error == "CAST" and column is not None
+                reasons.setdefault(at[where], _value_reason(roles[column]) if cast else _REASONS.get(error, "bad_value"))
         typed = con.execute(f"SELECT rid::BIGINT, {_checks(layout, roles)}, {_projection(roles)} FROM loaded").fetchall()
     else:
         typed = []
@@ -125,6 +148,8 @@ def _group(con, folder: str, layout: str, roles: tuple[str, ...], records: list[
             continue
         seen.add(rid)
         key, line_no, seq, raw = records[rid]
+        if layout == "pipe" and roles[0] == "id":
+            values[1] = raw.strip()[1:].partition("|")[0].strip()  # with its star
         out.append((key, line_no, seq, layout, why, raw, *values) if why is None else (key, line_no, seq, layout, why, raw, *[None] * len(values)))
     blank = [None] * (1 + len(TEXT_COLUMNS) + len(LONG_COLUMNS))
     for rid, (key, line_no, seq, raw) in enumerate(records):
