@@ -41,6 +41,8 @@ FILLER_SEEDS = 0.06  # least share of words of the dummy Latin alone
 FILLER_WORDS = 5
 COMMON = 1000  # a word in more than one of so many documents is common; so many words a document at most are common
 STEM = 6
+RAREST = 6.5  # most weight of a token: what is in one of 700 documents and less counts alike, whatever the size of the corpus
+ASSOCIATED = 10_000  # a word in more than one of so many documents, at least half of them with dummy Latin, is dummy text as well
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _RUN = re.compile(r"\w+")
@@ -113,7 +115,7 @@ def opening(span: str) -> str:
 def shape(span: str) -> str:
     """The token of how the inside of a span is written."""
     inside = span.strip("[]<>«»［］【】‹›{}%#$@~!?=& ").strip()
-    if re.fullmatch(r"[^\W_]+(?:_[^\W_]+)+", inside):
+    if re.search(r"[^\W_]_[^\W_]", inside):
         return "#shape:joined"
     if re.fullmatch(r"[a-z]+[A-Z]\w*", inside):
         return "#shape:camel"
@@ -189,13 +191,14 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 class Frequencies:
-    """Document frequencies of the exemplars' tokens, and the common words outside dummy text.
+    """Document frequencies of the exemplars' tokens, the common words outside dummy text, and words that go with it.
 
-    Bounded: a document of ``k`` words has at most ``k * COMMON`` common ones in the corpus.
+    Bounded: with documents of ``k`` words on average at most ``k * COMMON`` words are common, and
+    ``k * ASSOCIATED`` associated.
     """
 
-    def __init__(self, documents: int = 0, known: dict[str, int] | None = None, natural: frozenset[str] = frozenset()):
-        self.documents, self.known, self.natural = documents, known or {}, natural
+    def __init__(self, documents: int = 0, known: dict[str, int] | None = None, natural: frozenset[str] = frozenset(), latin: frozenset[str] = frozenset()):
+        self.documents, self.known, self.natural, self.latin = documents, known or {}, natural, latin
 
 
 def frequencies(df: DataFrame, text: str) -> Frequencies:
@@ -205,14 +208,16 @@ def frequencies(df: DataFrame, text: str) -> Frequencies:
     listed = df.sparkSession.createDataFrame([(t,) for t in INDEX.vocabulary], "token string")
     known = {r.token: r.n for r in counts.join(F.broadcast(listed), "token", "left_semi").collect()}
     common = counts.where((F.col("n") > 1) & (F.col("n") * COMMON >= n) & (F.col("n_filler") * 2 < F.col("n")) & ~F.col("token").rlike("^(#|s:)") & (F.col("token") != ""))
-    return Frequencies(n, known, frozenset(r.token for r in common.select("token").collect()))
+    latin = counts.where((F.col("n") > 2) & (F.col("n") * ASSOCIATED >= n) & (F.col("n_filler") * 2 >= F.col("n")) & ~F.col("token").rlike("^(#|s:)") & (F.col("token") != ""))
+    return Frequencies(n, known, *(frozenset(r.token for r in x.select("token").collect()) for x in (common, latin)))
 
 
 class Matcher:
     def __init__(self, counted: Frequencies = Frequencies()):
         self.natural = counted.natural - INDEX.filler
+        self.latin = counted.latin | INDEX.filler
         n = counted.documents
-        self.idf = {t: math.log((n + 1) / (counted.known.get(t, 0) + 1)) + 0.1 for t in INDEX.vocabulary}
+        self.idf = {t: min(math.log((n + 1) / (counted.known.get(t, 0) + 1)), RAREST) + 0.1 for t in INDEX.vocabulary}
         self.other = 3.0  # weight of words that no exemplar has
         self.weight = [sum(self.idf[t] for t in tokens) for tokens, _ in INDEX.messages]
         #: Each exemplar under tokens of which a passage must hold one to retrieve it.
@@ -288,10 +293,10 @@ class Matcher:
         tokens = [t for t in words(text) if t[0] != "#"]
         if len(tokens) < FILLER_WORDS:
             return False
-        seeds = sum(t in INDEX.filler for t in tokens)
-        if seeds < 3 or len(set(tokens) & INDEX.filler) < 2 or seeds < FILLER_SEEDS * len(tokens):
+        seeds = sum(t in self.latin for t in tokens)
+        if seeds < 3 or len(set(tokens) & self.latin) < 2 or seeds < FILLER_SEEDS * len(tokens):
             return False
-        return sum(t in INDEX.filler or t not in self.natural for t in tokens) >= FILLER * len(tokens)
+        return sum(t in self.latin or t not in self.natural for t in tokens) >= FILLER * len(tokens)
 
     def span(self, tokens: set[str]) -> bool:
         """Whether the tokens of a span hold and are covered by an exemplar of spans."""
@@ -330,7 +335,7 @@ class Matcher:
                     open_names.add(span_name(g))
             rest = _BRACKETED.sub(" ", rest)
         distinct = distinct_words(rest)
-        if len(distinct & INDEX.filler) > 1 and any(self.filler(p) for p in rest.split("\n")):
+        if len(distinct & self.latin) > 1 and any(self.filler(p) for p in rest.split("\n")):
             found.add("filler")
         told = self.told(distinct)
         if not told:
@@ -340,11 +345,16 @@ class Matcher:
         seen: set[str] = set()
         joined = re.sub(r"-\n", "", rest)
         whole = re.sub(r"(?<![.!?:;。！？\n])[ \t]*\n[ \t]*(?=[a-zà-ÿ0-9])(?![45]\d\d [A-Z])", " ", joined)  # lines that a scan broke within a sentence
-        for part in (whole.split("\n"), re.sub(r"\n(?!\n)", " ", joined).split("\n")):
-            for line in part:
+        # Lines as they stand count only if they hold little else: they may be parts of sentences.
+        for part, least in ((joined, WINDOW), (whole, None), (re.sub(r"\n(?!\n)", " ", joined), None)):
+            for line in part.split("\n"):
                 low = line.lower()
                 if not ("#status" in told and ("4" in low or "5" in low) or any(s in low for s in signs)):
                     continue
+                if least:
+                    if kind := self.match(words(line), 1, least, least):
+                        found.add(kind)
+                    continue
                 for p in (line, *_SENTENCE.split(line)):
                     if p and p not in seen:
                         seen.add(p)
