@@ -128,3 +128,8 @@ def test_long_passages_are_windowed():
     assert m.document(speech)[0] == set()
     assert m.document(speech + "the requested url was not found on this server " + speech)[0] == {"server"}
     assert m.document(speech + "\nvelum lorem contas sit dolumque tares ipsum merga quam nolis " * 30 + speech)[0] == {"filler"}
+
+
+@pytest.mark.parametrize("text", ["", "Plain words, WORDS", "404 x xx xxxx 12 中文字abc漢 _a_b 5x", "Ünïcode naïve １２３ 503"])
+def test_distinct_words_are_the_words(text):
+    assert residue.distinct_words(text) == set(residue.words(text))
