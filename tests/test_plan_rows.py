@@ -106,11 +106,13 @@ def test_value_errors_come_from_the_reject_tables(spark, monkeypatch):
     pipe = "| Id | Operation | A-Time |\n| 0 | A | |\n|* 1 | B | 00:00:01.5 |\n|* y | C | |\n| 3 | D | soon |\n"
     df = spark.createDataFrame([(1, text), (2, pipe)], "plan_id long, plan_text string")
     want = {(1, 3): "id_not_whole", (1, 4): "bad_time:time", (1, 5): "bad_time:time", (2, 4): "id_not_whole", (2, 5): "bad_time:a_time"}
-    assert {(r.key, r.line_no): r.reason for r in plan_rows.plan_rejects(df).collect()} == want
-    monkeypatch.setattr(plan_rows, "_checks", lambda layout, roles: "NULL")
+    assert {(r.key, r.line_no): r.reason for r in plan_rejects(df).collect()} == want
+    from sqlloom.operators import plan_rows as module
+
+    monkeypatch.setattr(module, "_checks", lambda layout, roles: "NULL")
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, pipe])], ["key", "text"])
-    got = [r for b in plan_rows._load(iter([batch])) for r in b.to_pylist()]
+    got = [r for b in module._load(iter([batch])) for r in b.to_pylist()]
     assert {(r["key"], r["line_no"]): r["reason"] for r in got if r["reason"]} == want
     assert [r["id_text"] for r in got if r["key"] == 2 and r["reason"] is None] == ["0", "* 1"]
