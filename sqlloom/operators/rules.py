@@ -15,7 +15,11 @@ def cost(raw: Column) -> Column:
 
 
 def requests(df: DataFrame) -> DataFrame:
-    """Submissions, each key once, with ``cost`` and ``error_code`` (null for valid rows)."""
+    """``submission_id, application_no, cost, include_ai, error_code`` of each key; ``error_code`` is null for valid rows.
+
+    The texts are only looked at. Of several rows of a key the least by these columns counts, a
+    valid one before others.
+    """
     c = cost(F.col("cost_raw"))
     code = (
         F.when(F.col("application_no").isNull() | ~F.col("application_no").rlike(r"\S") | (F.length(F.trim("application_no")) > 50), "bad_application_no")
@@ -23,7 +27,8 @@ def requests(df: DataFrame) -> DataFrame:
         .when(c.isNull(), "bad_cost")
         .when(F.length("plan_text") > 300_000, "plan_too_long")
     )
-    return df.select("submission_id", "application_no", c.alias("cost"), "sql", "plan_text", F.coalesce("include_ai", F.lit(False)).alias("include_ai"), code.alias("error_code")).dropDuplicates(["submission_id"])
+    rows = df.select("submission_id", F.struct(code.alias("error_code"), "application_no", c.alias("cost"), F.coalesce("include_ai", F.lit(False)).alias("include_ai")).alias("r"))
+    return rows.groupBy("submission_id").agg(F.min("r").alias("r")).select("submission_id", "r.application_no", "r.cost", "r.include_ai", "r.error_code")
 
 
 def _watch(tables: Column, entries: tuple[tuple[str, str], ...]) -> Column:

@@ -262,8 +262,7 @@ def d_archive(spark: SparkSession, folder: str) -> DataFrame:
     req = rules.requests(rows).where("error_code IS NULL OR error_code = 'bad_cost'")
     s = written(statements.statements(spread(rows.select("submission_id", "sql"))))
     f = written(rules.findings(s, req))
-    dated = req.join(rows.groupBy("submission_id").agg(F.min("submitted_at").alias("submitted_at")), "submission_id")
-    out = archive.records(dated, s, rules.compliance(rules.rule_rows(req, s, f)), score.scores(req, s, f))
+    out = archive.records(spread(rows.select("submission_id", "submitted_at", "sql")), s, rules.compliance(rules.rule_rows(req, s, f)), score.scores(req, s, f))
     return out.withColumn("statements", F.to_json("statements")).withColumn("compliance", F.to_json("compliance")).withColumn("improvement", F.to_json("improvement"))
 
 

@@ -179,7 +179,7 @@ def test_archive_and_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, SUB)
     req, s = rules.requests(df), statements.statements(df)
     f = rules.findings(s, req)
-    rec = archive.records(req.join(df.select("submission_id", "submitted_at"), "submission_id"), s, rules.compliance(rules.rule_rows(req, s, f)), score.scores(req, s, f))
+    rec = archive.records(df, s, rules.compliance(rules.rule_rows(req, s, f)), score.scores(req, s, f))
     archive.append(rec, str(tmp_path / "a"))
     back = spark.read.json(str(tmp_path / "a"))
     assert {r.month for r in back.collect()} == {"2025-02", "unknown"} and "application_no" not in back.columns and back.where("sql LIKE '%Jane%'").count() == 0
