@@ -13,6 +13,7 @@ import base64
 import heapq
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -219,7 +220,7 @@ def token_ids(df: DataFrame, key: str, text: str, v: Vocabulary) -> DataFrame:
                 lengths = [sum(map(len, words)) for words in docs]
                 offsets = np.zeros(len(docs) + 1, np.int32)
                 np.cumsum(lengths, out=offsets[1:])
-                flat = np.fromiter((i for words in docs for w in words for i in w), np.int32, int(offsets[-1]))
+                flat = np.fromiter(chain.from_iterable(chain.from_iterable(docs)), np.int32, int(offsets[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), ids], [key, "ids"])
 

@@ -252,3 +252,28 @@ def test_literals_of_every_shape_are_collected():
     many = ", ".join(f"'X-{i:05d}'" for i in range(200))
     assert found(f"SELECT a FROM t WHERE tel_no IN ({many}, '415-555-0199') AND f(b, '415-555-0188') = 1") == [("415-555-0199", "number", "tel_no"), ("415-555-0188", "number", "literal")]
     assert found("SELECT a FROM t WHERE d = '2024-01-31' AND k = 'A-12345678' AND s = '%open%'") == []
+
+
+def test_long_tokens_are_read_whole(spark):
+    """A look-alike in a token of thousands of letters is read with the script of its neighbours, before and behind."""
+    words = spark.createDataFrame([("passenger manifest of the harbour " * 50,)], "t string")
+    read = lookalike.Reader(*lookalike.trigram_counts(words))
+    long = "passengermanifest" * 200
+    assert len(long) > 3000 and read(long.replace("a", "а")) == long and read(long[:255] + "е" + long[256:]) == long[:255] + ("e" if long[255] != "e" else "e") + long[256:]
+    assert read("x_1_" * 900 + "а") == read("x_1_" * 900 + "a")
+
+
+@pytest.mark.parametrize("depth", [200, 400, 4000])
+def test_brackets_of_any_depth_are_canonical(depth):
+    a, b = ("SELECT a FROM t WHERE " + "(" * depth + c + ")" * depth for c in ("p = 1 AND q = 2", "q = 2 AND p = 1"))
+    assert canonical(a) == canonical(b) != canonical(b.replace("q = 2", "q = 3"))
+    x, y = ("SELECT a FROM t WHERE " + "(x = 1 OR " * depth + c + ")" * depth for c in ("p = 1 AND q = 2", "q = 2 AND p = 1"))
+    assert canonical(x) == canonical(y) != canonical(y.replace("q = 2", "q = 3"))
+
+
+def test_look_alike_classes_are_linear(spark):
+    """Many copies of one writing on both sides give no pairs; classes hold each row once."""
+    left = spark.createDataFrame([(i, "SELECT 1", "SELECT 1") for i in range(300)] + [(900, "ＳＥＬＥＣＴ 1", "SELECT 1")], "key long, text string, form string")
+    right = spark.createDataFrame([(i, "SELECT 1", "SELECT 1") for i in range(300)] + [(5, "SELECT 2", "SELECT 2")], "key long, text string, form string")
+    assert {(r.left_key, r.right_key) for r in lookalike.same_looking(left, right).collect()} == {(900, i) for i in range(300)}
+    assert lookalike.same_looking_classes(left, right).count() == 601
