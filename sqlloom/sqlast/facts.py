@@ -145,9 +145,8 @@ def _table_names(n: Node) -> set[str]:
     return {x.alias or x.name for x in n.walk() if x.kind == "table"}
 
 
-def _flags(n: Node) -> set[str]:
+def _flags(n: Node, everything: list[Node]) -> set[str]:
     """Set operations anywhere; everything else of the top-level branches of queries, with all that is nested in them."""
-    everything = list(n.walk())
     out: set[str] = set()
     for x in everything:
         if x.kind == "setop":
@@ -263,20 +262,17 @@ def signature(n: Node) -> dict[str, Any] | None:
 
 def skeleton(n: Node) -> str:
     """The statement with every condition replaced by TRUE."""
+    true = Node("raw", text="TRUE")
+    hidden = {"select": ("where", "having"), "join": ("on",), "update": ("where",), "delete": ("where",)}
+
     def fold(x: Any) -> Any:
-        if isinstance(x, Node):
-            f = {k: fold(v) for k, v in x.f.items()}
-            true = Node("raw", text="TRUE")
-            if x.kind == "select":
-                f |= {k: true for k in ("where", "having") if x.f[k] is not None}
-            elif x.kind == "join" and x.on is not None:
-                f["on"] = true
-            elif x.kind in ("update", "delete") and x.where is not None:
-                f["where"] = true
-            return Node(x.kind, **f)
-        if isinstance(x, list):
+        kind = x.__class__
+        if kind is Node:
+            drop = hidden.get(x.kind, ())
+            return Node(x.kind, **{k: v if v is None or v.__class__ is str else true if k in drop else fold(v) for k, v in x.f.items()})
+        if kind is list:
             return [fold(v) for v in x]
-        return tuple(fold(v) for v in x) if isinstance(x, tuple) else x
+        return tuple(fold(v) for v in x) if kind is tuple else x
 
     return render(fold(n))
 
@@ -311,11 +307,11 @@ def facts(sql: str, block: bool = False) -> tuple[dict[str, Any], Node | None]:
         return out, None
     n = tree
     out["statement_type"] = "SELECT" if n.kind in QUERY else n.kind.upper()
-    out["tables"] = sorted({x.name for x in n.walk() if x.kind == "table"})
-    names = {c for x in n.walk() for c, _ in (x.get("ctes") or [])}
-    out["base_tables"] = [t for t in out["tables"] if t not in names]
+    everything = list(n.walk())
+    out["tables"] = sorted({x.name for x in everything if x.kind == "table"})
+    ctes = {c: body for x in everything if x.kind in QUERY for c, body in (x.get("ctes") or [])}
+    out["base_tables"] = [t for t in out["tables"] if t not in ctes]
     q = _query_of(n)
-    ctes = {c: body for x in n.walk() for c, body in (x.get("ctes") or [])}
     if q is not None:
         applicable = [s for s in branches(q) if _real_source(s)]
         out["where_applicable"] = bool(applicable)
@@ -343,6 +339,6 @@ def facts(sql: str, block: bool = False) -> tuple[dict[str, Any], Node | None]:
                 if side.kind in ("func", "case", "cast") and _columns(side):
                     functions.append(render(side))
     out["or_count"], out["like_hits"], out["function_hits"] = ors, likes, list(dict.fromkeys(functions))
-    out["flags"] = sorted(_flags(n) | _pattern_flags(n))
+    out["flags"] = sorted(_flags(n, everything) | _pattern_flags(n))
     out["signature"], out["skeleton"] = signature(n), skeleton(n)
     return out, n

@@ -33,11 +33,11 @@ class LexError(ValueError):
 def tokens(sql: str, comments: bool = False) -> list[Token]:
     """All tokens but white space; comments only where asked for. Never fails: an open quotation mark is an ``op``."""
     out = []
+    new, skipped = tuple.__new__, ("space",) if comments else ("space", "line", "block", "remark")
     for m in TOKEN.finditer(sql):
-        kind = m.lastgroup if m.lastgroup != "mark" else "string"
-        if kind == "space" or not comments and kind in ("line", "block", "remark"):
-            continue
-        out.append(Token(kind, m.group(), m.start()))
+        kind = m.lastgroup
+        if kind not in skipped:
+            out.append(new(Token, (kind if kind != "mark" else "string", m.group(), m.start())))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from typing import NamedTuple
 
 from sqlloom.sqlast.lexer import is_open, tokens
@@ -52,14 +53,17 @@ def split_semicolons(text: str) -> list[str]:
     toks = tokens(text, comments=True)
     if is_open(toks):
         cuts = [m.end() for m in re.finditer(";", text)]
+        filled = lambda a, z: bool(tokens(text[a:z]))
     else:
         cuts = [t.start + 1 for t in toks if t.kind == "op" and t.text == ";"]
+        starts = [t.start for t in toks if t.kind not in ("line", "block", "remark")]
+        filled = lambda a, z: bisect_left(starts, a) < bisect_left(starts, z)
     out, at = [], 0
     for c in [*cuts, len(text)]:
         segment = text[at:c].strip()
-        at = c
-        if segment and segment != ";" and tokens(segment):
+        if segment and segment != ";" and filled(at, c):
             out.append(segment)
+        at = c
     return out
 
 
