@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlloom.sources.scratch import written
+
 FILTER_BITS = 1 << 28  # 32 MB: 16 bits each for 16 million keys; with more it lets more rows through
 _BLOCK = 16
 _HASHES = 3
@@ -92,5 +94,8 @@ def once(df: DataFrame, key: str, filter_bits: int = FILTER_BITS) -> DataFrame:
 
     Rows with null keys count as one key. An empty table gives none. Columns must be orderable.
     """
-    alone, maybe = split(df, key, repeated(df, key), filter_bits)
+    again = written(repeated(df, key))
+    if again.isEmpty():
+        return df
+    alone, maybe = split(df, key, again, filter_bits)
     return alone.unionByName(first_of(maybe, key))
