@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -24,29 +23,11 @@ def written(df: DataFrame, *parts: str) -> DataFrame:
     """The rows, written once to a table in the shared folder and read from there: cuts the lineage and survives lost executors.
 
     ``parts``: columns whose values get a directory each, so that readers of one value read that alone.
-    The tables of a session go when it ends.
+    The tables go when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sqlloom-{uuid.uuid4().hex}"
     (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
-    _remove_at_exit(spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
-
-
-_paths: list[str] = []
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    if not _paths:
-        atexit.register(_remove, spark)
-    _paths.append(path)
-
-
-def _remove(spark: SparkSession) -> None:
-    try:
-        context = spark.sparkContext
-        for path in _paths:
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended before: its folder is the cluster's to clear
-        pass
